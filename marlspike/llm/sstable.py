@@ -18,9 +18,11 @@ identifier sorts first; an empty table gives no shard; other columns are ignored
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ MAGIC = b"MSSTABL1"
 FOOTER = struct.Struct(">QQQQQQQIIQ8s")
 BLOCK_BYTES, SHARD_BYTES, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 8 << 20, 10, 7
 SIGN = 1 << 63
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -170,6 +173,16 @@ class Shard:
         return found
 
 
+def fold(text: str) -> str:
+    """A-Z in lower case, as the tokenizer's own first step has it; left alone where that could make a special token."""
+    return text if "<|" in text else text.encode("utf-8", "replace").translate(LOWER).decode("utf-8")
+
+
+def plain(word: str) -> bool:
+    """Letters alone, of scripts where lower case and composition leave letters alone."""
+    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+
+
 class WordMemo:
     """Encodes texts with the tokenizer, one library call for each distinct space-separated piece.
 
@@ -177,25 +190,57 @@ class WordMemo:
     tests hold this against whole-text encoding. Pieces over `longest` characters go to the library each time.
     """
 
-    def __init__(self, path: str, id_bytes: int, end_id: int, limit: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, id_bytes: int, end_id: int, limit: int = 500_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.limit, self.longest = Tokenizer.from_file(path), f"<u{id_bytes}", limit, longest
         self.end, self.memo = np.array([end_id], self.kind).tobytes(), {"": b""}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 2, bool)
+        self.closes[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone go to the library as one text; each ends with a token that closes a word."""
+        found = []
+        for lo in range(0, len(words), 20_000):
+            part = words[lo : lo + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(part):
+                flat, ends = ids.astype(self.kind).tobytes(), (ends * int(self.kind[-1])).tolist()
+                found += [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+            else:
+                found += self.call(part)
+        return found
+
+    def call(self, pieces: list[str]) -> list[bytes]:
+        found = []
+        for lo in range(0, len(pieces), 20_000):
+            part = self.tokenizer.encode_batch_fast(pieces[lo : lo + 20_000], add_special_tokens=False)
+            ids = [e.ids for e in part]
+            flat = np.array([i for x in ids for i in x], self.kind).tobytes()
+            ends = np.cumsum([len(x) for x in ids]) * int(self.kind[-1])
+            found += [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*pieces) - self.memo.keys())
-        once = {}
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (self.memo if len(p) <= self.longest else once)[p] = np.array(e.ids, self.kind).tobytes()
-        memo = self.memo | once if once else self.memo
+        pieces = [fold(t).replace("\n", " ").split(" ") for t in texts]
+        memo = self.memo
+        fresh = set().union(*pieces) - memo.keys()
+        # A full stop or comma after letters alone is a token of its own.
+        tails = {p: p[:-1] for p in fresh if p[-1] in ".," and plain(p[:-1])}
+        ask = [*(fresh - tails.keys()), *({*tails.values(), ".", ","} - memo.keys() - fresh)]
+        letters, others = [p for p in ask if plain(p)], [p for p in ask if not plain(p)]
+        memo |= zip(letters, self.words(letters))
+        memo |= zip(others, self.call(others))
+        memo |= {p: memo[head] + memo[p[-1]] for p, head in tails.items()}
         out = [b"".join([*map(memo.__getitem__, p), self.end]) for p in pieces]
-        if len(self.memo) > self.limit:
-            self.memo = {"": b""}
+        for p in [p for p in (*ask, *tails) if len(p) > self.longest]:
+            memo.pop(p, None)
+        if len(memo) > self.limit:  # the older half goes
+            self.memo = {"": b""} | dict(islice(memo.items(), len(memo) // 2, None))
         return out
 
 
