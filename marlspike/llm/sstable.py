@@ -22,7 +22,6 @@ import json
 import os
 import struct
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -190,7 +189,7 @@ class WordMemo:
     tests hold this against whole-text encoding. Pieces over `longest` characters go to the library each time.
     """
 
-    def __init__(self, path: str, id_bytes: int, end_id: int, limit: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, id_bytes: int, end_id: int, limit: int = 120_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -228,7 +227,8 @@ class WordMemo:
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [fold(t).replace("\n", " ").split(" ") for t in texts]
         memo = self.memo
-        fresh = set().union(*pieces) - memo.keys()
+        seen = set().union(*pieces)
+        fresh = {p for p in seen if p not in memo}
         # A full stop or comma after letters alone is a token of its own.
         tails = {p: p[:-1] for p in fresh if p[-1] in ".," and plain(p[:-1])}
         ask = [*(fresh - tails.keys()), *({*tails.values(), ".", ","} - memo.keys() - fresh)]
@@ -239,8 +239,8 @@ class WordMemo:
         out = [b"".join([*map(memo.__getitem__, p), self.end]) for p in pieces]
         for p in [p for p in (*ask, *tails) if len(p) > self.longest]:
             memo.pop(p, None)
-        if len(memo) > self.limit:  # the older half goes
-            self.memo = {"": b""} | dict(islice(memo.items(), len(memo) // 2, None))
+        if len(memo) > self.limit:  # what was known before and came again stays; most other words never come again
+            self.memo = {"": b""} | {p: memo[p] for p in seen if p not in fresh and p in memo}
         return out
 
 
@@ -265,7 +265,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_bytes:
         memo, w = memo_for(tokenizer, id_bytes, end_id), ShardWriter(id_bytes)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in text_chunks(texts):
+            for lo, hi in text_chunks(texts, 1_500_000):
                 for doc, value in zip(ids[lo:hi], memo.encode(texts[lo:hi])):
                     w.add(key_of(doc), value)
                     if w.size() >= shard_bytes:
