@@ -22,6 +22,7 @@ import json
 import os
 import struct
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -189,7 +190,7 @@ class WordMemo:
     tests hold this against whole-text encoding. Pieces over `longest` characters go to the library each time.
     """
 
-    def __init__(self, path: str, id_bytes: int, end_id: int, limit: int = 120_000, longest: int = 48):
+    def __init__(self, path: str, id_bytes: int, end_id: int, limit: int = 600_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -231,16 +232,21 @@ class WordMemo:
         fresh = {p for p in seen if p not in memo}
         # A full stop or comma after letters alone is a token of its own.
         tails = {p: p[:-1] for p in fresh if p[-1] in ".," and plain(p[:-1])}
-        ask = [*(fresh - tails.keys()), *({*tails.values(), ".", ","} - memo.keys() - fresh)]
-        letters, others = [p for p in ask if plain(p)], [p for p in ask if not plain(p)]
+        letters = {p for p in tails.values() if p not in memo}
+        others = [p for p in (".", ",") if p not in memo]
+        for p in fresh:
+            if p not in tails and p not in letters:
+                letters.add(p) if plain(p) else others.append(p)
+        letters = [*letters]
         memo |= zip(letters, self.words(letters))
         memo |= zip(others, self.call(others))
         memo |= {p: memo[head] + memo[p[-1]] for p, head in tails.items()}
         out = [b"".join([*map(memo.__getitem__, p), self.end]) for p in pieces]
-        for p in [p for p in (*ask, *tails) if len(p) > self.longest]:
+        for p in [p for p in (*letters, *others, *tails) if len(p) > self.longest]:
             memo.pop(p, None)
-        if len(memo) > self.limit:  # what was known before and came again stays; most other words never come again
-            self.memo = {"": b""} | {p: memo[p] for p in seen if p not in fresh and p in memo}
+        if len(memo) > self.limit:  # the older half goes, but for what just came again
+            late = islice(memo.items(), len(memo) // 2, None)
+            self.memo = {"": b""} | {p: memo[p] for p in seen if p not in fresh and p in memo} | dict(late)
         return out
 
 
