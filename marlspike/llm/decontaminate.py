@@ -3,8 +3,8 @@
 Texts are lower-cased and white space is collapsed. An item of n bytes that occurs in a document with at most k edits
 (k = `errors` x n) shares at least n + 1 - q (k + 1) byte q-grams with it, and their positions lie on diagonals no
 further than k apart. Shared q-grams are counted in overlapping bands of 2k + 1 diagonals, stepping k + 1; bands that
-meet the bound are kept, and each is verified by banded alignment of the whole item against the region. q shrinks for
-short items so that the bound stays positive.
+meet the bound are kept, and each is verified by banded alignment of the whole item against the region. The edit budget
+of short items shrinks so that the bound stays positive.
 
 The items are read in blocks of a bounded size, and each block is matched against all documents in one narrow pass;
 nothing is shuffled.
