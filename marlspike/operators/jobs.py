@@ -249,15 +249,36 @@ def can(asks: DataFrame, grants: DataFrame) -> DataFrame:
     return met.groupBy(*asks.columns).agg(F.max(F.col("gp").isNotNull()).alias("granted"))
 
 
+def held(tuples: DataFrame) -> DataFrame:
+    """(subject, relation, object) that hold for direct subjects: their own tuples, and those of one userset they are in.
+
+    A userset is a group and a relation to it: a tuple whose subject is `group` with subject_relation `r` holds for all
+    that have relation `r` to the group. There is one such step and no more.
+    """
+    own = tuples.where(F.coalesce("subject_relation", F.lit("")) == "").select("subject", "relation", "object")
+    sets = tuples.where(F.col("subject_relation") != "").select(F.col("subject").alias("_g"), F.col("subject_relation").alias("_r"), F.col("relation").alias("_rel"), F.col("object").alias("_obj"))
+    through = sets.join(own, (own["object"] == sets["_g"]) & (own["relation"] == sets["_r"])).select("subject", F.col("_rel").alias("relation"), F.col("_obj").alias("object"))
+    return own.union(through).distinct()
+
+
 def has_relation(asks: DataFrame, tuples: DataFrame) -> DataFrame:
-    """(subject, relation, object) asks that hold: directly, or through one group whose members share the relation."""
-    direct = tuples.select("subject", "relation", "object")
-    members = tuples.where(F.col("relation") == "member").select(F.col("subject").alias("m"), F.col("object").alias("g"))
-    grouped = tuples.where(F.col("subject_relation") == "member").join(members, F.col("subject") == F.col("g")).select(F.col("m").alias("subject"), "relation", "object")
-    holding = direct.union(grouped).distinct().withColumn("holds", F.lit(True))
+    """Whether each asked (subject, relation, object) holds."""
+    holding = held(tuples).withColumn("holds", F.lit(True))
     return asks.join(holding, ["subject", "relation", "object"], "left").withColumn("holds", F.coalesce("holds", F.lit(False)))
 
 
+def objects_with(tuples: DataFrame, relation: str) -> DataFrame:
+    """(subject, object) pairs that the relation holds for."""
+    return held(tuples).where(F.col("relation") == relation).select("subject", "object")
+
+
+def scopes_with(grants: DataFrame, permission: str, scope_type: str | None = None) -> DataFrame:
+    """(user_id, scope_id) where a stored pattern grants the permission."""
+    met = grants.where(F.array_contains(candidate_keys(F.lit(permission)), F.col("permission")))
+    met = met if scope_type is None else met.where(F.col("scope_type") == scope_type)
+    return met.select("user_id", "scope_id").distinct()
+
+
 def reconcile(have: DataFrame, want: DataFrame) -> DataFrame:
     """Rows to insert and to delete so that `have` becomes `want`."""
     have, want = have.distinct(), want.distinct()

@@ -445,3 +445,6 @@ def extension_group_by(spark, sf_dir):
     """An extension, not an operator of the reference: plain aggregation over a pushed-down filter."""
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= dt.datetime(1998, 9, 2))
     return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+from marlspike.queries import extra  # noqa: E402,F401  (registers more queries here)

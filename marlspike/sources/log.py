@@ -182,3 +182,13 @@ def collect_garbage(segments: DataFrame, consumers: DataFrame, snapshot: int) ->
     """Segments that may go: those up to the snapshot and up to every consumer's position."""
     floor = consumers.agg(F.min("position").alias("floor"))
     return segments.crossJoin(F.broadcast(floor)).where(F.col("last_ts") <= F.least(F.lit(snapshot), F.coalesce("floor", F.lit(snapshot)))).drop("floor")
+
+
+def stable_prefix(frontiers: DataFrame, shards: int) -> DataFrame:
+    """The commit time up to which every shard is complete; 0 until all of them have reported."""
+    return frontiers.agg(F.when(F.countDistinct("shard") >= shards, F.min("frontier")).otherwise(0).alias("stable_ts"))
+
+
+def recent(entries: DataFrame, order: str, where: Column, most: int = 50, ring: int = 1000) -> DataFrame:
+    """Newest entries that meet a condition, out of the last `ring` ones."""
+    return entries.orderBy(F.col(order).desc()).limit(ring).where(where).orderBy(F.col(order).desc()).limit(most)
