@@ -14,9 +14,11 @@ def near(prints: np.ndarray, one: np.ndarray, rows: np.ndarray, distance: int) -
     return rows[np.bitwise_count(prints[rows] ^ one).sum(1, dtype=np.int32) <= distance]
 
 
-def forest(prints: np.ndarray, distance: int, exact_over: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def forest(prints: np.ndarray, distance: int, exact_over: int = 200_000, parents: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links among distinct fingerprints: (member, root) rows, root the lowest row reached.
 
+    With `parents`, rows are (member, the linked row that reached it), so that each row is itself a link.
+
     A search from each unvisited row over the rows not yet reached. Rows are sorted by popcount first: popcounts of
     linked rows differ by no more than the distance (the Manhattan bound over one segment), so each step looks at a
     slice only. One-word groups over `exact_over` rows are first split by their four 16-bit blocks: three bits spoil
@@ -39,7 +41,7 @@ def forest(prints: np.ndarray, distance: int, exact_over: int = 200_000) -> tupl
     members, roots = [], []
     while len(left):
         root_row, left = left[0], left[1:]
-        reached, queue = [root_row], [root_row]
+        reached, queue, via = [root_row], [root_row], []
         while queue and len(left):
             x = queue.pop()
             lo, hi = np.searchsorted(pops[left], [pops[x] - distance, pops[x] + distance + 1])
@@ -47,9 +49,13 @@ def forest(prints: np.ndarray, distance: int, exact_over: int = 200_000) -> tupl
             if len(hit):
                 reached += hit.tolist()
                 queue += hit.tolist()
+                via += [x] * len(hit)
                 left = np.concatenate([left[:lo], np.setdiff1d(left[lo:hi], hit, assume_unique=True), left[hi:]]) if len(hit) < hi - lo else np.concatenate([left[:lo], left[hi:]])
                 left = left[np.lexsort((left, pops[left]))]
-        if len(reached) > 1:
+        if parents:
+            members += reached[1:]
+            roots += via
+        elif len(reached) > 1:
             low = min(reached)
             rest = [r for r in reached if r != low]
             members += rest
@@ -57,15 +63,40 @@ def forest(prints: np.ndarray, distance: int, exact_over: int = 200_000) -> tupl
     return np.array(members, np.int64), np.array(roots, np.int64)
 
 
-def cell_links(cells: DataFrame, words: int, distance: int) -> DataFrame:
-    """Links among the rows of each cell: (u long, v long) with u > v.
+def whole_cells(cells: DataFrame, words: int, found, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (u long, v long) that `found(cell, node, prints, *extra)` gives for whole cells, distinct.
 
-    `cells` has columns cell (long), node (long), p0..p{words-1} (long). Rows of a cell meet in one task in sorted
-    order and are streamed; small cells are compared all at once, larger ones by `forest`. Only rows of a forest or
-    of small cells leave the task, so output grows with members, not with pairs.
+    `cells` has columns cell (long), node (long), p0..p{words-1} (long) and the longs named in `extra`. Rows of a cell
+    meet in one task in sorted order and are streamed.
     """
     names = [f"p{i}" for i in range(words)]
 
+    def stream(batches):
+        held = None
+        for b in batches:
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+            fresh = (cols[0], cols[1], np.stack(cols[2 : 2 + words], 1).view(np.uint64), *cols[2 + words :])
+            held = fresh if held is None else tuple(np.concatenate(x) for x in zip(held, fresh))
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last cell can go on in the next batch
+            if cut:
+                u, v = found(*(x[:cut] for x in held))
+                yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+                held = tuple(x[cut:] for x in held)
+        if held is not None and len(held[0]):
+            u, v = found(*held)
+            yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+
+    met = cells.select("cell", "node", *names, *extra).repartition("cell").sortWithinPartitions("cell", "node")
+    return met.mapInArrow(stream, "u long, v long").distinct()
+
+
+def cell_links(cells: DataFrame, words: int, distance: int, parents: bool = False) -> DataFrame:
+    """Links among the rows of each cell: (u long, v long) with u > v.
+
+    Small cells are compared all at once, larger ones by `forest`. Only rows of a forest or of small cells leave the
+    task, so output grows with members, not with pairs.
+    """
+
     def groups(cell, node, prints):
         """Links of whole cells, rows sorted by cell."""
         out_u, out_v = [], []
@@ -82,30 +113,46 @@ def cell_links(cells: DataFrame, words: int, distance: int) -> DataFrame:
             out_u.append(node[hit])
             out_v.append(node[hit + gap])
         for f, s in zip(first[sizes > 12], sizes[sizes > 12]):
-            a, b = forest(prints[f : f + s], distance)
+            a, b = forest(prints[f : f + s], distance, parents=parents)
             out_u.append(node[f + a])
             out_v.append(node[f + b])
         u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_u, out_v))
         keep = u != v
         return np.maximum(u, v)[keep], np.minimum(u, v)[keep]
 
-    def stream(batches):
-        cell, node, prints = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, words), np.uint64)
-        for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(2 + words)]
-            cell, node = np.r_[cell, cols[0]], np.r_[node, cols[1]]
-            prints = np.vstack([prints, np.stack(cols[2:], 1).view(np.uint64)])
-            cut = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last cell can go on in the next batch
-            if cut:
-                u, v = groups(cell[:cut], node[:cut], prints[:cut])
-                yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
-                cell, node, prints = cell[cut:], node[cut:], prints[cut:]
-        if len(cell):
-            u, v = groups(cell, node, prints)
-            yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+    return whole_cells(cells, words, groups)
 
-    met = cells.select("cell", "node", *names).repartition("cell").sortWithinPartitions("cell", "node")
-    return met.mapInArrow(stream, "u long, v long").distinct()
+
+#: In place of a pair, says that some row had more candidates than were given.
+MORE = -1
+
+
+def cross_links(cells: DataFrame, words: int, distance: int, nearest: int) -> DataFrame:
+    """For each row of a cell its `nearest` rows within the distance whose column `label` differs: (u, v), u > v.
+
+    A row (MORE, MORE) says that some row has further ones; the caller then asks again with a larger `nearest`.
+    """
+
+    def groups(cell, node, prints, label):
+        out_u, out_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        for f, s in zip(first, np.diff(np.r_[first, len(cell)])):
+            part, step = slice(f, f + s), max(1, 2_000_000 // s)
+            for lo in range(f, f + s, step):
+                hi = min(lo + step, f + s)
+                far = np.bitwise_count(prints[lo:hi, None] ^ prints[None, part]).sum(2, dtype=np.int32)
+                far[label[lo:hi, None] == label[None, part]] = distance + 1
+                some = np.argpartition(far, nearest, axis=1)[:, :nearest] if nearest < s else np.broadcast_to(np.arange(s), far.shape)
+                r, c = np.nonzero(np.take_along_axis(far, some, 1) <= distance)
+                out_u.append(node[lo + r])
+                out_v.append(node[f + some[r, c]])
+                if nearest < s and ((far <= distance).sum(1) > nearest).any():
+                    out_u.append(np.array([MORE]))
+                    out_v.append(np.array([MORE]))
+        u, v = np.concatenate(out_u), np.concatenate(out_v)
+        return np.maximum(u, v), np.minimum(u, v)
+
+    return whole_cells(cells, words, groups, ("label",))
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:

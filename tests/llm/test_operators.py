@@ -6,6 +6,7 @@ import pytest
 
 from marlspike.llm import chat, decontaminate, mixing, pii, ranking, secrets, simhash, sstable, stats, supervision, toxicity
 from marlspike.llm.queries import tokenizer_path
+from marlspike.llm.text import folded_words, shingle_hashes
 from marlspike.session import scratch_path, table
 
 DATA = "/root/testdata/sf0.001"
@@ -120,6 +121,35 @@ def test_mix_meets_targets(spark, odd, docs):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_near_groups_hold_no_pair_below_the_bound(spark):
+    """Two families whose texts come near each other, one of them a chain, many enough for a large cell."""
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+
+    def edit(words, n):
+        out = list(words)
+        for i in rng.choice(len(out), n, replace=False):
+            out[i] = f"e{rng.integers(0, 10**6)}"
+        return out
+
+    other = edit(base, 5)
+    texts = [" ".join(edit(w, rng.integers(1, 4))) for w in (base, other) for _ in range(40)]
+    for _ in range(5):
+        texts.append(" ".join(edit(texts[-1].split(), 2)))
+    texts += [texts[0], "", "", "a b", "A b"]
+    sets = [set(np.unique(shingle_hashes(folded_words(t), 5)).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    for nearest in (1, 8):
+        got = {r.row: r.group for r in simhash.wide_groups(df, nearest=nearest, tables=64).collect()}
+        assert [got.get(i, i) for i in range(len(texts))] == label
+
+
 def test_statistics_equal_brute_force(spark, odd, docs):
     import re
 
