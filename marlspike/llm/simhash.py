@@ -10,7 +10,8 @@ then verified by exact Hamming distance. Every link is found; no cell is capped.
 grid of popcounts prunes (measured on the test tables: median 9, 99 % within 17 bits). It keeps the fingerprint's
 signed counts over 256 bits, takes as cell the dominant coordinate of three rotated segments, and takes as candidates
 rows of a cell within an exact Hamming distance over 256 bits, with total popcount as the Manhattan bound. Candidates
-are then verified by the similarity of their shingle sets.
+are then verified by the similarity of their shingle sets. These cells can miss a pair, so what is left apart goes
+through an exact join on prefixes of the shingle sets, which has no such loss and no bound on distance.
 
 Defined cases: a null text is the empty text; a text without words has fingerprint zero and is linked like any other;
 repeated rows share a fingerprint and so a component; a null identifier is no component's smallest unless all are
@@ -26,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from marlspike.llm.components import MORE, cell_links, components, cross_links
+from marlspike.llm.components import MORE, cell_links, components, cross_links, whole_cells
 from marlspike.llm.text import folded_words, shingle_hashes, texts_of
 from marlspike.session import materialize, ship
 
@@ -34,6 +35,8 @@ PAIRS = 0x5555555555555555
 #: Coordinates (2-bit segments) in each of the six groups.
 GROUPS = (6, 6, 5, 5, 5, 5)
 WIDE_WORDS = 4
+#: Counters that shingles share for the order of prefixes; it settles how many pairs meet, never which are found.
+COUNTERS = 1 << 18
 
 
 def bit_counts(hashes: np.ndarray, words: int = 1) -> np.ndarray:
@@ -185,6 +188,88 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.mapInArrow(alike, "u long, v long")
 
 
+def counted(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each counter: one array of fixed size, whatever the table."""
+
+    def counts(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            held = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(x.as_buffer(), np.uint32) for x in b.column(0)]])
+            total += np.bincount(held & np.uint32(COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for r in sets.select("set").mapInArrow(counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["at"]] = r["n"]
+    return out
+
+
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(node, size, cells): of each set the rarest shingles, so many that two sets alike by `least` share one.
+
+    Alike sets share `least` x size shingles of either, so in one order of all shingles the first that they share is
+    among the first size - least x size + 1 of each. The order is by counter, then by hash: any order is exact, and
+    this one leaves common shingles out of prefixes.
+    """
+    count = counted(sets)
+
+    def cells(batches):
+        for b in batches:
+            size, found = [], []
+            for x in b.column(1):
+                x = np.frombuffer(x.as_buffer(), np.uint32)
+                order = np.lexsort((x, count[x & np.uint32(COUNTERS - 1)]))
+                size.append(len(x))
+                found.append(x[order[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1]].astype(np.int64))
+            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "size", "cells"])
+
+    return sets.select("node", "set").mapInArrow(cells, "node long, size long, cells array<long>")
+
+
+def prefix_pairs(cells: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v), u > v, of differing `label` that share a cell and can still be alike by `least`.
+
+    `cells` has columns cell, node, p0 (the set's size times 2**32, plus the shingle's place in its order) and label.
+    Of two sets whose first common shingle is at some places, no more than the rest from there on is common; this
+    bounds their similarity. Nothing is capped.
+    """
+
+    def groups(cell, node, prints, label):
+        size, place = (prints[:, 0] >> np.uint64(32)).astype(np.int64), (prints[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        rest = size - place
+
+        def pick(a, b):
+            both = np.minimum(rest[a], rest[b])
+            return (label[a] != label[b]) & (both >= least * (size[a] + size[b] - both) - 1e-9)
+
+        out_u, out_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        sizes = np.diff(np.r_[first, len(cell)])
+        mixed = np.logical_or.reduceat(label != np.repeat(label[first], sizes), first)
+        first, sizes = first[mixed], sizes[mixed]
+        for gap in range(1, 12):  # cells of up to 12 rows: each pair at this gap within the same cell
+            at = np.flatnonzero((sizes > gap) & (sizes <= 12))
+            if not len(at):
+                break
+            reps = sizes[at] - gap
+            a = np.repeat(first[at], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
+            a = a[pick(a, a + gap)]
+            out_u.append(node[a])
+            out_v.append(node[a + gap])
+        for f, s in zip(first[sizes > 12], sizes[sizes > 12]):
+            step = max(1, 2_000_000 // s)
+            for lo in range(f, f + s, step):
+                a, b = np.arange(lo, min(lo + step, f + s))[:, None], np.arange(lo, f + s)[None]
+                r, c = np.nonzero(pick(a, b) & (a < b))
+                out_u.append(node[lo + r])
+                out_v.append(node[lo + c])
+        u, v = np.concatenate(out_u), np.concatenate(out_v)
+        return np.maximum(u, v), np.minimum(u, v)
+
+    return whole_cells(cells, 1, groups, ("label",))
+
+
 def wide_groups(docs: DataFrame, k: int = 5, least: float = 0.8, distance: int = 64, tables: int = 32, hashes: int = 3, nearest: int = 8) -> DataFrame:
     """(row, group) for texts that share a near-duplicate group with another; group is the group's lowest row.
 
@@ -196,13 +281,15 @@ def wide_groups(docs: DataFrame, k: int = 5, least: float = 0.8, distance: int =
     Large cells give a spanning tree of candidates at first. Where one of them fails, the groups at its ends can still
     be linked by another pair: rows there propose their `nearest` rows of other groups, then eight times as many, until
     no row has further ones. So every candidate pair between two final groups has been looked at, and only those.
+
+    At last the sets themselves are joined on their prefixes, between groups only: every pair of sets alike by `least`
+    that no common cell or the distance kept apart is found there.
     """
     prints = [f"p{i}" for i in range(WIDE_WORDS)]
     rows = materialize(wide_cells(docs, k, tables, hashes), "wide")
     same = materialize(rows.groupBy(*prints).agg(F.min("row").alias("node"), F.min_by("cells", "row").alias("cells")), "same")
     pairs = materialize(cell_links(same.select(F.explode("cells").alias("cell"), "node", *prints), WIDE_WORDS, distance, parents=True), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    sets = materialize(shingle_sets(docs.join(ends, "row", "left_semi").withColumnRenamed("row", "node"), k), "sets")
+    sets = materialize(shingle_sets(docs.withColumnRenamed("row", "node").join(same.select("node"), "node", "left_semi"), k), "sets")
     links = materialize(similar(pairs, sets, least), "links")
     more = True
     while more:
@@ -218,6 +305,12 @@ def wide_groups(docs: DataFrame, k: int = 5, least: float = 0.8, distance: int =
         found = materialize(similar(fresh, sets, least), "found")
         more, nearest = more or not found.isEmpty(), nearest * 8
         pairs, links = pairs.union(fresh), links.union(found)
+    cells = prefixes(sets, least).join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("label"), F.posexplode("cells").alias("place", "cell"))
+    cells = cells.select("cell", "node", F.shiftleft("size", 32).bitwiseOR(F.col("place").cast("long")).alias("p0"), "label")
+    fresh = materialize(prefix_pairs(cells, least).join(pairs, ["u", "v"], "left_anti"), "prefix")
+    found = materialize(similar(fresh, sets, least), "found")
+    if not found.isEmpty():
+        roots = materialize(components(links.union(found)), "roots")
     named = same.join(roots, "node", "left").select(*prints, F.coalesce("root", "node").alias("group"))
     return rows.select("row", *prints).join(named, prints).select("row", "group")
 
