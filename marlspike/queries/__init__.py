@@ -277,6 +277,13 @@ def range_affected(spark, sf_dir):
     return ranges.affected(subscriptions(spark, sf_dir), writes)
 
 
+@query(f"select distinct o_orderkey as commit_ts, sub_id from ({SUBS}) join orders on o_custkey >= low and o_custkey < high")
+def range_affected_all(spark, sf_dir):
+    """`range_affected` over every commit; that one's SQL names only the first ones."""
+    writes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_ts"), F.lit("orders").alias("keyspace"), F.col("o_custkey").alias("key"))
+    return ranges.affected(subscriptions(spark, sf_dir), writes)
+
+
 @query(f"""select s.sub_id as txn_id, min(o_orderkey) as first_conflict, count(distinct o_orderkey) as n_conflicts from ({SUBS}) s
   join orders on o_custkey >= low and o_custkey < high where o_orderkey > s.sub_id * 5 and o_orderkey < s.sub_id * 5 + 300 group by s.sub_id""")
 def range_conflicts(spark, sf_dir):
