@@ -88,6 +88,16 @@ def range_union(spark, sf_dir):
     return ranges.union_ranges(subscriptions(spark, sf_dir).where("sub_id % 9 = 0")).select("low", "high")
 
 
+@query("""with s as (select c_nationkey, c_custkey as low, c_custkey + 1 + (c_custkey % 40) * (c_custkey % 7) as high from customer),
+  b as (select *, max(high) over (partition by c_nationkey order by low, high rows between unbounded preceding and 1 preceding) as before from s),
+  g as (select *, sum(case when before >= low then 0 else 1 end) over (partition by c_nationkey order by low, high rows between unbounded preceding and current row) as run from b)
+  select 'nation:' || c_nationkey as keyspace, min(low) as low, max(high) as high from g group by c_nationkey, run""")
+def range_union_all(spark, sf_dir):
+    """The read set of every subscription, merged within the customer's nation; `range_union` takes every ninth."""
+    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sub_id"), F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("keyspace"))
+    return ranges.union_ranges(subscriptions(spark, sf_dir).drop("keyspace").join(nation, "sub_id"))
+
+
 @query("select user_id as txn_id, count(*) filter (event_type <> 'purchase') as n_reads, count(*) filter (event_type = 'purchase') as n_writes from events group by 1 having n_reads > 50 or n_writes > 50")
 def transaction_limits(spark, sf_dir):
     kind = F.when(F.col("event_type") == "purchase", "write").otherwise("read")
