@@ -32,7 +32,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=.-])")
+#: Tokens of any length, dots inside included; dots at either end are not part of one.
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-])[A-Za-z0-9+/_=.-]{19,}[A-Za-z0-9+/_=-]")
 
 
 def looks_random(value: str, bits: float = 3.5) -> bool:

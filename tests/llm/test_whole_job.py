@@ -2,7 +2,7 @@
 
 import random
 
-from marlspike.llm import simhash
+from marlspike.llm import secrets, simhash
 
 
 def test_no_near_pair_stays_apart(spark):
@@ -35,3 +35,12 @@ def test_prefix_join_equals_brute_force(spark):
     found = {(r.u, r.v) for r in simhash.similar(simhash.prefix_pairs(cells, 0.8), df, 0.8).collect()}
     want = {(u, v) for u in range(len(sets)) for v in range(u) if sets[u] and len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v])}
     assert len(want) > 50 and found == want
+
+
+def test_entropy_tokens_of_any_length():
+    draw = random.Random(9)
+    token = lambda n: "aZ3" + "".join(draw.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789", k=n - 3))
+    for value in (token(20), token(300), ".".join([token(36), token(80), token(43)])):
+        for before, after in (("", ""), ("see ", "."), ("(", ")... more"), ("...", ", x")):
+            found = [s[:3] for s in secrets.scan(before + value + after)]
+            assert found == [(3, len(before), len(before) + len(value))]
