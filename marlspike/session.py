@@ -64,7 +64,34 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     """Cut lineage with a table in the shared folder: lost executors cost a re-read, not a recomputation."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._marlspike_path = path
+    left_over(df.sparkSession).append(path)
+    return out
+
+
+def left_over(spark: SparkSession) -> list[str]:
+    """Paths of the tables that `materialize` wrote and `discard` has not removed."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_marlspike_tables"):
+        sc._marlspike_tables = []
+    return sc._marlspike_tables
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders through Hadoop's file system layer, so any store will do."""
+    jvm, conf, known = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), left_over(spark)
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        if path in known:
+            known.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote; nothing that reads them may run afterwards."""
+    for df in tables:
+        remove(df.sparkSession, [df._marlspike_path])
 
 
 def ship(spark: SparkSession) -> None:
