@@ -12,7 +12,7 @@ import math
 import struct
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 #: FNV-1a offsets and primes, and the base-32 alphabet without i, l, o and u.
@@ -32,10 +32,17 @@ def fnv(data: bytes, start: int = FNV32, prime: int = FNV32_PRIME, bits: int = 3
     return h
 
 
+def low_bytes(text: str) -> bytes:
+    """The low byte of each UTF-16 unit."""
+    return text.encode("utf-16-le", "surrogatepass")[::2]
+
+
 def fnv1a32(text: Column) -> Column:
-    @F.pandas_udf("long")
-    def h(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: fnv(t.encode()), na_action="ignore").astype("Int64")
+    """FNV-1a over the low byte of each UTF-16 unit of a text; null stays null."""
+
+    @F.arrow_udf("long")
+    def h(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else fnv(low_bytes(t)) for t in texts.to_pylist()], pa.int64())
 
     return h(text)
 
@@ -69,7 +76,7 @@ def encode_key_part(v: Any) -> bytes:
         return bytes([TAGS["int64"]]) + (v + 2**63).to_bytes(8, "big")
     if isinstance(v, str | bytes | bytearray):
         raw, tag = (v.encode(), "string") if isinstance(v, str) else (bytes(v), "bytes")
-        return bytes([TAGS[tag]]) + raw.replace(b"\0", b"\0\xff") + b"\0\0"
+        return bytes([TAGS[tag]]) + raw.replace(b"\0", b"\0\xff") + b"\0"
     raise TypeError("only scalars make an index key")
 
 
@@ -87,11 +94,11 @@ def range_end(prefix: bytes) -> bytes:
 
 
 def shard_of(key: Column, shards: int) -> Column:
-    """The shard of a key value: FNV-1a over its encoded bytes, then jump hashing."""
+    """The shard of a key value: FNV-1a over its encoded bytes, then jump hashing. A null is a key like any other."""
 
-    @F.pandas_udf("string")
-    def shard(s: pd.Series) -> pd.Series:
-        return pd.Series([shard_name(jump_hash(fnv(encode_key([None if pd.isna(v) else v]), FNV64, FNV64_PRIME, 64), shards)) for v in s.tolist()])
+    @F.arrow_udf("string")
+    def shard(keys: pa.Array) -> pa.Array:
+        return pa.array([shard_name(jump_hash(fnv(encode_key([v]), FNV64, FNV64_PRIME, 64), shards)) for v in keys.to_pylist()], pa.string())
 
     return shard(key)
 
@@ -157,9 +164,9 @@ def parse_id(text: str) -> tuple[int, bytes]:
 
 
 def ids_of(table: int, internal: Column) -> Column:
-    @F.pandas_udf("string")
-    def made(s: pd.Series) -> pd.Series:
-        return pd.Series([make_id(table, bytes(b)) for b in s])
+    @F.arrow_udf("string")
+    def made(parts: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else make_id(table, b) for b in parts.to_pylist()], pa.string())
 
     return made(internal)
 
@@ -187,7 +194,7 @@ def to_tagged(v: Any) -> Any:
     if isinstance(v, int):
         return {"$integer": b64(struct.pack("<q", v))}
     if isinstance(v, float):
-        return v if math.isfinite(v) and not (v == 0 and math.copysign(1, v) < 0) else {"$float": b64(struct.pack("<d", v))}
+        return v if math.isfinite(v) else {"$float": b64(struct.pack("<d", v))}
     if isinstance(v, bytes | bytearray):
         return {"$bytes": b64(bytes(v))}
     if isinstance(v, list | tuple):

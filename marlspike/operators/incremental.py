@@ -6,7 +6,6 @@ the recomputed snapshot; the tests hold random histories against that.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marlspike.functions.hashing import fnv1a32
@@ -52,9 +51,9 @@ def overlay(base: DataFrame, staged: DataFrame, key: str) -> DataFrame:
 def checksum(rows: DataFrame, key: Column, ts: Column, order_key: Column) -> DataFrame:
     """Drift checksum: XOR of the FNV-1a hash of each row's key, version and order key, as 8 hexadecimal digits.
 
-    XOR is order-free and combines on the map side.
+    XOR is order-free and combines on the map side. A missing order key is the empty text.
     """
-    text = F.concat(key.cast("string"), F.lit("\0"), ts.cast("string"), F.lit("\0"), order_key.cast("string"))
+    text = F.concat(key.cast("string"), F.lit("\0"), ts.cast("string"), F.lit("\0"), F.coalesce(order_key.cast("string"), F.lit("")))
     folded = rows.agg(F.coalesce(F.bit_xor(fnv1a32(text)), F.lit(0)).alias("x"))
     return folded.select(F.lower(F.lpad(F.hex("x"), 8, "0")).alias("checksum"))
 
@@ -87,7 +86,3 @@ def optimistic(base: DataFrame, pending: DataFrame, observed_ts: int, key: str =
     top = live.groupBy(key).agg(F.max_by(F.struct("value"), "seq").alias("t"))
     kept = base.select(key, "value").join(top.select(key), key, "left_anti")
     return kept.unionByName(top.select(key, F.col("t.value").alias("value")).where(F.col("value").isNotNull()))
-
-
-def empty_like(df: DataFrame) -> pd.DataFrame:
-    return df.limit(0).toPandas()

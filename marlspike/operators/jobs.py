@@ -7,12 +7,15 @@ transitions leaves, which rows a sweep removes.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-#: Delivery statuses by rank; a lower or equal one never replaces a higher.
-STATUS_RANK = {"queued": 0, "sent": 1, "delivered": 2, "bounced": 3, "failed": 3}
+from marlspike.session import discard, materialize
+
+#: Delivery statuses by rank; a lower or equal one never replaces a higher.
+STATUS_RANK = {"dropped": 1, "bounced": 2, "complained": 2, "failed_permanent": 2, "delivered": 3, "opened": 4, "clicked": 5}
 
 
 def rank_of(column: str, ranks: dict[str, int]) -> Column:
@@ -40,11 +43,11 @@ def claim(jobs: DataFrame, now: float, lease: float = 30_000, most: int = 64) ->
 
 
 def backoff(attempts: Column, initial: float, base: float, random: Column) -> Column:
-    """Milliseconds to wait, rounded half up."""
+    """Milliseconds to wait after that many attempts, the failed one included; rounded half up."""
     return F.floor(initial * F.pow(F.lit(base), attempts + 1) * (0.5 + 0.5 * random) + 0.5).cast("long")
 
 
-def fail(jobs: DataFrame, failed: DataFrame, now: float, initial: float = 500, base: float = 2, random: Column | None = None) -> DataFrame:
+def fail(jobs: DataFrame, failed: DataFrame, now: float, initial: float = 250, base: float = 2, random: Column | None = None) -> DataFrame:
     """The table after failures: another attempt later, or failed for good at the limit."""
     f = failed.select("job_id", F.lit(True).alias("_f"))
     hit = F.coalesce("_f", F.lit(False))
@@ -53,14 +56,45 @@ def fail(jobs: DataFrame, failed: DataFrame, now: float, initial: float = 500, b
     return out.select(
         *[c for c in jobs.columns if c not in ("state", "attempts", "next_ts", "lease_expires")],
         F.when(hit & last, "failed").when(hit, "pending").otherwise(F.col("state")).alias("state"),
-        F.when(hit & ~last, F.lit(now) + backoff(F.col("attempts"), initial, base, F.lit(1.0) if random is None else random)).otherwise(F.col("next_ts")).alias("next_ts"),
+        F.when(hit & ~last, F.lit(now) + backoff(F.col("attempts") + 1, initial, base, F.lit(1.0) if random is None else random)).otherwise(F.col("next_ts")).alias("next_ts"),
         F.when(hit, F.col("attempts") + 1).otherwise(F.col("attempts")).alias("attempts"),
         F.when(hit, F.lit(None)).otherwise(F.col("lease_expires")).alias("lease_expires"),
     )
 
 
 def expired_leases(jobs: DataFrame, now: float, most: int = 64) -> DataFrame:
-    return jobs.where((F.col("state") == "inProgress") & F.coalesce(F.col("lease_expires") < now, F.lit(False))).orderBy("job_id").limit(most)
+    """The first jobs by due time, then identifier, whose lease has run out."""
+    return jobs.where((F.col("state") == "inProgress") & F.coalesce(F.col("lease_expires") < now, F.lit(False))).orderBy("next_ts", "job_id").limit(most)
+
+
+def reclaim(jobs: DataFrame, now: float, most: int = 64) -> DataFrame:
+    """The table after a sweep of expired leases: a mutation with attempts left is pending again at once, all else failed.
+
+    An action is never run again, since its effects may have happened. `jobs` has columns kind and completed_ts besides.
+    """
+    hit = F.coalesce("_hit", F.lit(False))
+    again = (F.col("kind") == "mutation") & (F.col("attempts") + 1 < F.col("max_failures"))
+    out = jobs.join(expired_leases(jobs, now, most).select("job_id", F.lit(True).alias("_hit")), "job_id", "left")
+    return out.select(
+        *[c for c in jobs.columns if c not in ("state", "attempts", "next_ts", "lease_expires", "completed_ts")],
+        F.when(hit & again, "pending").when(hit, "failed").otherwise(F.col("state")).alias("state"),
+        F.when(hit & again, F.lit(now)).otherwise(F.col("next_ts")).alias("next_ts"),
+        F.when(hit, F.col("attempts") + 1).otherwise(F.col("attempts")).alias("attempts"),
+        F.when(~hit, F.col("lease_expires")).alias("lease_expires"),
+        F.when(hit & ~again, F.lit(now)).otherwise(F.col("completed_ts")).alias("completed_ts"),
+    )
+
+
+def complete(jobs: DataFrame, done: DataFrame, now: float) -> DataFrame:
+    """The table after successes: the jobs of `done` (job_id) that are in progress succeed; others stay as they are."""
+    hit = F.coalesce("_hit", F.lit(False)) & (F.col("state") == "inProgress")
+    out = jobs.join(done.select("job_id", F.lit(True).alias("_hit")).distinct(), "job_id", "left")
+    return out.select(
+        *[c for c in jobs.columns if c not in ("state", "lease_expires", "completed_ts")],
+        F.when(hit, "success").otherwise(F.col("state")).alias("state"),
+        F.when(~hit, F.col("lease_expires")).alias("lease_expires"),
+        F.when(hit, F.lit(now)).otherwise(F.col("completed_ts")).alias("completed_ts"),
+    )
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -75,8 +109,28 @@ def enqueue_time(run_at: Column, run_after: Column, now: float) -> Column:
 
 
 def descendants(spark: SparkSession, jobs: DataFrame, root) -> DataFrame:
-    """All jobs under a root by their parents, the root included."""
-    return closure(spark, jobs.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("src"), F.col("job_id").alias("dst")), [root]).select(F.col("node").alias("job_id"))
+    """All jobs under a root by their parents, the root included; a written table.
+
+    A job has one parent, so pointers double: after k rounds each job knows whether the root is among its next 2**k
+    ancestors. Rounds grow with the logarithm of the depth, and each has one row per job. A cycle of parents ends too.
+    """
+    own = jobs.where(F.col("job_id").isNotNull()).groupBy("job_id").agg(F.max("parent_id").alias("up"))
+    kind = jobs.schema["job_id"].dataType
+    top = spark.range(1).select(F.lit(root).cast(kind).alias("job_id"), F.lit(None).cast(kind).alias("up"))
+    nodes = own.where(F.col("job_id") != F.lit(root)).union(top).withColumn("hit", F.col("job_id") == F.lit(root))
+    nodes = materialize(nodes.withColumn("up", F.col("up").cast(kind)), "nodes")
+    rounds = nodes.count().bit_length() + 1
+    for _ in range(rounds):
+        above = nodes.select(F.col("job_id").alias("_id"), F.col("up").alias("_up"), F.col("hit").alias("_hit"))
+        met = nodes.join(above, F.col("up") == F.col("_id"), "left")
+        further = materialize(met.select("job_id", F.when(~F.col("hit"), F.col("_up")).alias("up"), (F.col("hit") | F.coalesce("_hit", F.lit(False))).alias("hit")), "nodes")
+        discard(nodes)
+        nodes = further
+        if nodes.where(F.col("up").isNotNull()).isEmpty():
+            break
+    out = materialize(nodes.where("hit").select("job_id"), "descendants")
+    discard(nodes)
+    return out
 
 
 def cancel(spark: SparkSession, jobs: DataFrame, root) -> DataFrame:
@@ -86,19 +140,29 @@ def cancel(spark: SparkSession, jobs: DataFrame, root) -> DataFrame:
     return out.withColumn("state", F.when(F.col("_hit") & (F.col("state") == "pending"), "canceled").otherwise(F.col("state"))).drop("_hit")
 
 
-def closure(spark: SparkSession, edges: DataFrame, roots: list, most: int = 100) -> DataFrame:
-    """Nodes that the roots reach, breadth first; each round looks only at nodes not seen before, so cycles end."""
-    from marlspike.session import materialize
+def closure(spark: SparkSession, edges: DataFrame, roots: list) -> DataFrame:
+    """Nodes that the roots reach, at any depth, breadth first; a written table.
 
+    Each round looks only at nodes not seen before, so cycles end. Levels are merged into one table whenever there are
+    eight of them, so a round reads few tables however many levels came before.
+    """
     edges = edges.select("src", "dst").distinct()
     kind = edges.schema["src"].dataType.simpleString()
-    seen = front = spark.createDataFrame([(r,) for r in roots], f"node {kind}").distinct()
-    for _ in range(most):
-        front = materialize(edges.join(front, edges["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
-        if front.isEmpty():
-            return seen
-        seen = seen.union(front)
-    raise RuntimeError("the closure is deeper than the limit of rounds")
+    front = materialize(spark.createDataFrame([(r,) for r in roots], f"node {kind}").distinct(), "front")
+    levels = [front]
+    while True:
+        seen = reduce(DataFrame.union, levels)
+        step = edges.join(front, edges["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
+        front = materialize(step.join(seen, "node", "left_anti"), "front")
+        last = front.isEmpty()
+        if last or len(levels) == 8:
+            merged = materialize(seen, "seen")
+            discard(*levels)
+            levels = [merged]
+        if last:
+            discard(front)
+            return levels[0]
+        levels.append(front)
 
 
 # Calendars
@@ -232,17 +296,17 @@ def drain(outbox: DataFrame) -> DataFrame:
 
 
 def candidate_keys(permission: Column) -> Column:
-    """The stored patterns that grant `resource:action`."""
-    part = F.split(permission, ":")
-    r, a = part[0], part[1]
+    """The stored patterns that grant `resource:action`. The first colon parts the two; without one the action is empty."""
     colon = F.lit(":")
-    return F.array_distinct(F.array(permission, F.concat(r, colon, F.lit("*")), F.concat(F.lit("*"), colon, a), F.lit("*:*")))
+    r = F.substring_index(permission, ":", 1)
+    a = F.substr(permission, F.length(r) + 2)
+    return F.array_distinct(F.array(F.concat(r, colon, a), F.concat(r, colon, F.lit("*")), F.concat(F.lit("*"), colon, a), F.lit("*:*")))
 
 
 def can(asks: DataFrame, grants: DataFrame) -> DataFrame:
-    """Whether each (user_id, scope_type, scope_id, permission) is granted in its scope, or globally."""
+    """Whether each (user_id, scope_type, scope_id, permission) is granted in its scope, or globally (empty type and id)."""
     a = asks.withColumn("pattern", F.explode(candidate_keys(F.col("permission"))))
-    scopes = F.array(F.struct(F.col("scope_type").alias("st"), F.col("scope_id").alias("si")), F.struct(F.lit("global").alias("st"), F.lit("global").alias("si")))
+    scopes = F.array(F.struct(F.col("scope_type").alias("st"), F.col("scope_id").alias("si")), F.struct(F.lit("").alias("st"), F.lit("").alias("si")))
     a = a.withColumn("_s", F.explode(scopes)).select("*", "_s.st", "_s.si").drop("_s")
     g = grants.select(F.col("user_id").alias("gu"), F.col("scope_type").alias("gt"), F.col("scope_id").alias("gi"), F.col("permission").alias("gp")).distinct()
     met = a.join(g, (a["user_id"] == g["gu"]) & (a["st"] == g["gt"]) & (a["si"] == g["gi"]) & (a["pattern"] == g["gp"]), "left")

@@ -3,16 +3,18 @@
 An interval is (keyspace, low, high) over integer keys, half-open; a null `high` is unbounded. The join of points with
 intervals is an equi-join on keyspace and grid cell. The grid has levels whose cells are 64 times as wide as those of
 the level before; an interval is stored in the cells that it touches at the first level where these are 65 at most,
-and a point looks up its own cell at every level. No pair outside a common cell is looked at.
+and a point looks up its own cell at every level. An interval without an upper bound ends at the keyspace's highest
+point for this, so it has no more cells than others. No pair outside a common cell is looked at.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-LEVELS, STEP = 10, 6
+from marlspike.operators.prefix import BEFORE, UP_TO, ranges_of
+
+#: 11 levels of 6 bits cover all 64 bits of a key.
+LEVELS, STEP = 11, 6
 
 
 def intersects(a_low: Column, a_high: Column, b_low: Column, b_high: Column) -> Column:
@@ -23,17 +25,31 @@ def holds(key: Column, low: Column, high: Column) -> Column:
     return (key >= low) & (high.isNull() | (key < high))
 
 
+def stored_cells(low: Column, last: Column) -> Column:
+    """(level, cell) pairs of the keys from low to last: at the first level where the cells are 66 at most.
+
+    Halves are compared, since a difference of two keys can overflow.
+    """
+    cell = lambda x, i: F.shiftright(x, STEP * i) if i else x
+    pair = lambda i: lambda c: F.struct(F.lit(i).alias("l"), c.alias("c"))
+    out = F.array().cast("array<struct<l:int,c:bigint>>")
+    for i in range(LEVELS - 1, -1, -1):
+        few = F.shiftright(last, STEP * i + 1) - F.shiftright(low, STEP * i + 1) <= 32
+        out = F.when(few, F.transform(F.sequence(cell(low, i), cell(last, i)), pair(i))).otherwise(out)
+    return out
+
+
 def stab(points: DataFrame, intervals: DataFrame, key: str = "key") -> DataFrame:
     """Each point (keyspace, key, ...) with each interval of its keyspace that holds it."""
-    width = F.col("high") - F.col("low")
-    level = reduce(lambda rest, i: F.when(width <= 2 ** (STEP * (i + 1)), F.lit(i)).otherwise(rest), range(LEVELS - 1, -1, -1), F.lit(LEVELS))
-    cells = f"case when _level = {LEVELS} then array(0L) else sequence(shiftright(low, {STEP} * _level), shiftright(high - 1, {STEP} * _level)) end"
-    stored = intervals.where(F.col("high").isNull() | (F.col("low") < F.col("high"))).withColumn("_level", level)
-    stored = stored.withColumn("_cell", F.explode(F.expr(cells))).withColumnRenamed("keyspace", "_ks")
-    places = [F.struct(F.lit(i).alias("l"), (F.shiftright(F.col(key).cast("long"), STEP * i) if i < LEVELS else F.lit(0).cast("long")).alias("c")) for i in range(LEVELS + 1)]
-    asked = points.withColumn("_p", F.explode(F.array(*places))).select("*", F.col("_p.l").alias("_pl"), F.col("_p.c").alias("_pc")).drop("_p")
-    met = asked.join(stored, (asked["keyspace"] == stored["_ks"]) & (F.col("_pl") == F.col("_level")) & (F.col("_pc") == F.col("_cell")))
-    return met.where(holds(F.col(key), F.col("low"), F.col("high"))).drop("_pl", "_pc", "_level", "_cell", "_ks")
+    tops = points.groupBy(F.col("keyspace").alias("_ks")).agg(F.max(F.col(key).cast("long")).alias("_top"))
+    kept = intervals.join(tops, F.col("keyspace") == F.col("_ks")).where(F.col("low") <= F.col("_top"))
+    kept = kept.where(F.col("high").isNull() | (F.col("low") < F.col("high")))
+    last = F.least(F.coalesce(F.col("high").cast("long") - 1, "_top"), "_top")
+    stored = kept.withColumn("_at", F.explode(stored_cells(F.col("low").cast("long"), last))).drop("keyspace", "_top")
+    places = [F.struct(F.lit(i).alias("l"), (F.shiftright(F.col(key).cast("long"), STEP * i) if i else F.col(key).cast("long")).alias("c")) for i in range(LEVELS)]
+    asked = points.withColumn("_p", F.explode(F.array(*places)))
+    met = asked.join(stored, (asked["keyspace"] == stored["_ks"]) & (F.col("_p.l") == F.col("_at.l")) & (F.col("_p.c") == F.col("_at.c")))
+    return met.where(holds(F.col(key), F.col("low"), F.col("high"))).drop("_p", "_at", "_ks")
 
 
 def affected(subscriptions: DataFrame, writes: DataFrame) -> DataFrame:
@@ -63,14 +79,26 @@ def over_limit(ops: DataFrame, most: int = 4096) -> DataFrame:
 
 
 def union_ranges(ranges: DataFrame) -> DataFrame:
-    """A range set with overlapping and touching members merged, per keyspace."""
-    top = F.coalesce("high", F.lit(2**63 - 1))
-    w = Window.partitionBy("keyspace").orderBy("low", top)
-    before = F.max(top).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    started = ranges.withColumn("_new", F.when(F.coalesce(before, F.lit(-(2**63))) < F.col("low"), 1).otherwise(0)).withColumn("_top", top)
-    run = started.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """A range set with overlapping and touching members merged, per keyspace.
+
+    Ranges are dealt by keyspace and low end, and merged inside each part; what the parts before it reach and how many
+    runs they have is carried over from one row per keyspace and part.
+    """
+    end = F.lit(2**63 - 1)
+    order = [F.col("keyspace"), F.col("low"), F.col("_top")]
+    dealt = ranges_of(ranges.withColumn("_top", F.coalesce("high", end)), order)
+    parts = dealt.groupBy("keyspace", "_part").agg(F.max("_top").alias("_reach"))
+    over_parts = Window.partitionBy("keyspace").orderBy("_part").rowsBetween(*BEFORE)
+    carried = parts.select("keyspace", "_part", F.max("_reach").over(over_parts).alias("_reached"))
+    inside = Window.partitionBy("keyspace", "_part").orderBy("low", "_top")
+    met = dealt.join(carried, ["keyspace", "_part"])
+    before = F.greatest(F.max("_top").over(inside.rowsBetween(*BEFORE)), "_reached")
+    started = met.withColumn("_new", F.when(before.isNull() | (before < F.col("low")), 1).otherwise(0))
+    counts = started.groupBy("keyspace", "_part").agg(F.sum("_new").alias("_runs"))
+    counts = counts.select("keyspace", "_part", F.coalesce(F.sum("_runs").over(over_parts), F.lit(0)).alias("_earlier"))
+    run = started.join(counts, ["keyspace", "_part"]).withColumn("_run", F.col("_earlier") + F.sum("_new").over(inside.rowsBetween(*UP_TO)))
     out = run.groupBy("keyspace", "_run").agg(F.min("low").alias("low"), F.max("_top").alias("_top"))
-    return out.select("keyspace", "low", F.when(F.col("_top") < 2**63 - 1, F.col("_top")).alias("high"))
+    return out.select("keyspace", "low", F.when(F.col("_top") < end, F.col("_top")).alias("high"))
 
 
 def written_tables(ranges: DataFrame) -> DataFrame:

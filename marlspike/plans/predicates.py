@@ -116,7 +116,9 @@ def _relate(schema: Schema, table: str, df: DataFrame, rel: Relation, quantifier
         if _plain(schema, rel.table, leaf):
             failing = child.where(~two_valued(_column(schema, rel.table, leaf)))
         else:
-            failing = child.join(good.select(F.col(schema.keys[rel.table]).alias("_good")), F.col(schema.keys[rel.table]) == F.col("_good"), "left_anti")
+            # Children as whole rows: a key need not be unique, and equal rows are alike good or not.
+            own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(child.columns)])
+            failing = child.withColumn("_row", own).join(good.select(own.alias("_good")).distinct(), F.col("_row").eqNullSafe(F.col("_good")), "left_anti")
         return df.join(failing.select(F.col(rel.field).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
     target = restrict(schema, rel.table, leaf, depth + 1)
     if quantifier in ("some", "none") and rel.many:

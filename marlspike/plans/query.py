@@ -10,11 +10,12 @@ from __future__ import annotations
 import base64
 import datetime as dt
 import json
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from marlspike.operators.prefix import numbered
 from marlspike.plans.predicates import all_of, bag, residual
 
 
@@ -95,7 +96,6 @@ class Query:
     descending: bool = False
     limit: int | None = None
     policy: Any = None
-    ignored: tuple = field(default=(), compare=False)
 
     def eq(self, name: str, value: Any) -> Query:
         return replace(self, range_terms=(*self.range_terms, ("eq", name, value)))
@@ -209,14 +209,13 @@ class Query:
         return Page(page, encode_cursor(list(last["last"])), True, True)
 
     def page_bounds(self, page_size: int) -> DataFrame:
-        """The first and last key of each page of the whole result, and the key at which the next page starts."""
-        order = [*self.sort_keys()]
-        keys = self.matching().select(*self.index.order)
-        number = F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / page_size)
+        """Each page of the whole result: its first and last key, its rows, and the key at which the next page starts."""
+        keys = numbered(self.matching().select(*self.index.order), self.sort_keys(), "_place")
         key = F.struct(*self.index.order)
         ends = (F.max, F.min) if self.descending else (F.min, F.max)
-        pages = keys.withColumn("page", number).groupBy("page").agg(ends[0](key).alias("first"), ends[1](key).alias("last"))
-        return pages.withColumn("next_first", F.lead("first").over(Window.orderBy("page")))
+        paged = keys.withColumn("page", F.floor((F.col("_place") - 1) / page_size))
+        pages = paged.groupBy("page").agg(ends[0](key).alias("first"), ends[1](key).alias("last"), F.count("*").alias("n"))
+        return pages.join(pages.select((F.col("page") - 1).alias("page"), F.col("first").alias("next_first")), "page", "left")
 
     def diffable(self, reads: int = 1, returned_untouched: bool = True) -> str | None:
         """How changes reach a standing query: "range" or "page", or None if it has to run again.

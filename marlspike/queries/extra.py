@@ -69,9 +69,9 @@ def log_density_gaps(spark, sf_dir):
     return incremental.density_gaps(doclog.chain(log).withColumn("prev_ts", stated).where("ts > 500"), heads).select("ts", "doc_id")
 
 
-@query("select o_orderkey as doc_id, (select max(event_id) from events) + dense_rank() over (order by o_custkey) as ts from orders where o_orderstatus = 'F'")
+@query("select o_orderkey as doc_id, (select max(event_id) from events) + dense_rank() over (order by o_custkey) as ts from orders")
 def log_commit_units(spark, sf_dir):
-    units = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("unit"), F.lit("orders").alias("table_id"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("value"))
+    units = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("unit"), F.lit("orders").alias("table_id"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("value"))
     return doclog.commit(the_log(spark, sf_dir), units).select("doc_id", "ts")
 
 
@@ -80,20 +80,20 @@ def log_recent(spark, sf_dir):
     return doclog.recent(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", (F.col("event_type") == "error") & (F.col("event_id") > 100)).select("event_id")
 
 
-@query(f"""with s as (select *, max(high) over (order by low, high rows between unbounded preceding and 1 preceding) as before from ({SUBS}) where sub_id % 9 = 0),
+@query(f"""with s as (select *, max(high) over (order by low, high rows between unbounded preceding and 1 preceding) as before from ({SUBS})),
   g as (select *, sum(case when before >= low then 0 else 1 end) over (order by low, high rows between unbounded preceding and current row) as run from s)
   select min(low) as low, max(high) as high from g group by run""")
 def range_union(spark, sf_dir):
-    """The read set of every ninth subscription, merged."""
-    return ranges.union_ranges(subscriptions(spark, sf_dir).where("sub_id % 9 = 0")).select("low", "high")
+    """The read set of every subscription, merged into one keyspace."""
+    return ranges.union_ranges(subscriptions(spark, sf_dir)).select("low", "high")
 
 
 @query("""with s as (select c_nationkey, c_custkey as low, c_custkey + 1 + (c_custkey % 40) * (c_custkey % 7) as high from customer),
   b as (select *, max(high) over (partition by c_nationkey order by low, high rows between unbounded preceding and 1 preceding) as before from s),
   g as (select *, sum(case when before >= low then 0 else 1 end) over (partition by c_nationkey order by low, high rows between unbounded preceding and current row) as run from b)
   select 'nation:' || c_nationkey as keyspace, min(low) as low, max(high) as high from g group by c_nationkey, run""")
-def range_union_all(spark, sf_dir):
-    """The read set of every subscription, merged within the customer's nation; `range_union` takes every ninth."""
+def range_union_spaces(spark, sf_dir):
+    """The read set of every subscription, merged within the customer's nation as keyspace."""
     nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sub_id"), F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("keyspace"))
     return ranges.union_ranges(subscriptions(spark, sf_dir).drop("keyspace").join(nation, "sub_id"))
 

@@ -7,9 +7,12 @@ side, so a document with very many revisions costs one row per task in the shuff
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from marlspike.operators.prefix import numbered, running
+
 KEY = ["table_id", "doc_id"]
 
 
@@ -79,9 +82,13 @@ def changes(log: DataFrame) -> DataFrame:
     return df.withColumn("op", op).withColumn("change_id", F.concat_ws(":", "table_id", "doc_id", "ts"))
 
 
-def read_log(log: DataFrame, after_ts: int, limit: int, stable: int | None = None) -> tuple[DataFrame, int]:
+def read_log(log: DataFrame, after_ts: int, limit: int, stable: int | None = None, tables: list | None = None, hidden: tuple[str, ...] = ("_",)) -> tuple[DataFrame, int]:
     """(changes after `after_ts`, highest ts scanned): a batch that never ends inside a commit.
 
+    Only changes of `tables` are given, if they are named; else all but those of system tables (a name that starts with
+    one of `hidden`) and of component tables (a name with a slash). Rows that are left out count towards `limit`, and
+    the batch's end moves past them.
+
     `limit` counts scanned rows; the batch holds whole commits whose rows fit, and the first one even if it does not.
     Nothing over the stable prefix is seen. A limit of 0 returns no change and the bound that could be read.
     """
@@ -98,15 +105,23 @@ def read_log(log: DataFrame, after_ts: int, limit: int, stable: int | None = Non
         if total > limit and i:
             break
         end = r["ts"]
-    return changes(upto(log, end)).where(F.col("ts") > after_ts).orderBy("ts", *KEY), end
+    # Of the history only the newest earlier revision of the batch's documents is needed.
+    batch = log.where((F.col("ts") > after_ts) & (F.col("ts") <= end))
+    docs = batch.select(*KEY).distinct()
+    earlier = latest(log.where(F.col("ts") <= after_ts).join(docs, KEY, "left_semi")).select(*log.columns)
+    fed = changes(batch.unionByName(earlier)).where(F.col("ts") > after_ts)
+    name = F.col("table_id").cast("string")
+    system = reduce(lambda a, b: a | b, [F.startswith(name, F.lit(h)) for h in hidden], F.contains(name, F.lit("/")))
+    fed = fed.where(~system) if tables is None else fed.where(name.isin([str(t) for t in tables]))
+    return fed.orderBy("ts", *KEY), end
 
 
 def byte_cut(feed: DataFrame, budget: int, size: Column, order: list[str], group: str = "ts") -> DataFrame:
     """The prefix of whole commits whose sizes fit the budget; the first commit always stays."""
     per = feed.groupBy(group).agg(F.sum(size).alias("size"))
-    w = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = per.withColumn("upto", F.sum("size").over(w)).withColumn("place", F.row_number().over(Window.orderBy(group)))
-    return feed.join(fits.where((F.col("upto") <= budget) | (F.col("place") == 1)).select(group), group, "left_semi").orderBy(*order)
+    fits = running(per, [F.col(group)], F.col("size"), "upto").where(F.col("upto") <= budget).select(group)
+    first = per.agg(F.min(group).alias(group)).where(F.col(group).isNotNull())
+    return feed.join(fits.union(first), group, "left_semi").orderBy(*order)
 
 
 def count_live(log: DataFrame, ts: int | None = None) -> DataFrame:
@@ -153,7 +168,7 @@ def commit(log: DataFrame, units: DataFrame) -> DataFrame:
 
     Units are numbered by their rank among distinct units; all go out in one append or none.
     """
-    ranks = units.select("unit").distinct().withColumn("rank", F.row_number().over(Window.orderBy("unit")))
+    ranks = numbered(units.select("unit").distinct(), [F.col("unit")], "rank")
     base = log.agg(F.coalesce(F.max("ts"), F.lit(0)).alias("base"))
     return units.join(ranks, "unit").crossJoin(F.broadcast(base)).select(*KEY, (F.col("base") + F.col("rank")).alias("ts"), "value")
 

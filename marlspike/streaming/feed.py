@@ -20,9 +20,11 @@ def table_stream(spark: SparkSession, path: str, schema, files: int = 64) -> Dat
 def change_feed(log: DataFrame) -> DataFrame:
     """Changes of a stream of revisions (table_id, doc_id, ts, value): op, old value, previous time and change id.
 
-    The state is one revision per document. A batch holds whole commits and commits come in order, so a revision
-    that is not newer than the document's last is a redelivery and gives nothing. A document's revisions of one batch
-    are sorted in memory; the size of a batch bounds them.
+    The state is one revision per document. A batch holds whole commits, and commits have to come in order: a revision
+    equal to the document's last is a redelivery and gives nothing, one older than that stops the query with an error,
+    since its change can no longer be told from what came before. Files dealt in another order than that of their
+    commits (after a compaction, say) are thus noticed, not lost. A document's revisions of one batch are sorted in
+    memory; the size of a batch bounds them.
     """
     kinds = {f: log.schema[f].dataType for f in ("table_id", "doc_id", "value")}
     keys = f"table_id {kinds['table_id'].simpleString()}, doc_id {kinds['doc_id'].simpleString()}"
@@ -31,6 +33,8 @@ def change_feed(log: DataFrame) -> DataFrame:
         rows = pd.concat(frames).sort_values("ts").drop_duplicates("ts")
         last_ts, last = state.get if state.exists else (None, None)
         if last_ts is not None:
+            if int(rows["ts"].iloc[0]) < last_ts:
+                raise ValueError(f"revision {rows['ts'].iloc[0]} of {key} comes after {last_ts}: commits out of order")
             rows = rows[rows["ts"] > last_ts]
         if not len(rows):
             return

@@ -35,6 +35,13 @@ def test_stream_equals_batch(spark, files):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_commits_out_of_order_stop_the_stream(spark):
+    """A batch with a revision older than the document's last is an error, not a loss."""
+    path = revisions(spark, [("t", 1, 10, (1.0, "x"))], [("t", 1, 5, (2.0, "y"))])
+    with pytest.raises(Exception, match="out of order"):
+        run(spark, path, 1, scratch_path(spark, "out"), scratch_path(spark, "cursor"))
+
+
 def test_failing_batch_comes_again(spark):
     path, out, cursor, tries = revisions(spark, ROWS), scratch_path(spark, "out"), scratch_path(spark, "cursor"), []
 

@@ -20,7 +20,7 @@ def spans():
 def test_affected_has_every_commit(spark):
     writes = read(f"select o_orderkey, o_custkey from '{DATA}/orders.parquet'")
     want = {(o, i) for o, k in writes for i, low, high in spans() if low <= k < high}
-    got = [(r.commit_ts, r.sub_id) for r in QUERIES["range_affected_all"](spark, str(DATA)).collect()]
+    got = [(r.commit_ts, r.sub_id) for r in QUERIES["range_affected"](spark, str(DATA)).collect()]
     assert max(o for o, _ in want) >= 500 and sorted(got) == sorted(want)
 
 
@@ -34,5 +34,5 @@ def test_union_covers_every_subscription(spark):
         else:
             last[space] = [space, low, high]
             want.append(last[space])
-    got = [[r.keyspace, r.low, r.high] for r in QUERIES["range_union_all"](spark, str(DATA)).collect()]
+    got = [[r.keyspace, r.low, r.high] for r in QUERIES["range_union_spaces"](spark, str(DATA)).collect()]
     assert len(want) > 25 and sorted(got) == sorted(want)
