@@ -13,7 +13,7 @@ import struct
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: FNV-1a offsets and primes, and the base-32 alphabet without i, l, o and u.
 FNV32, FNV32_PRIME = 0x811C9DC5, 0x01000193
@@ -103,6 +103,12 @@ def shard_of(key: Column, shards: int) -> Column:
     return shard(key)
 
 
+def by_shard(df: DataFrame, key: str, shards: int, own: str | None = None) -> DataFrame:
+    """`df` with its rows' `shard`, dealt by it; with `own` only that shard's rows, as a running shard may touch."""
+    named = df.withColumn("shard", shard_of(F.col(key), shards))
+    return named.repartition("shard") if own is None else named.where(F.col("shard") == own)
+
+
 def varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:

@@ -286,10 +286,13 @@ def sweep_receipts(receipts: DataFrame, floors: DataFrame, now: float, ttl: floa
     return receipts.where(~old), raised
 
 
-def drain(outbox: DataFrame) -> DataFrame:
-    """The entries that go out: in order up to the first transient failure; a terminal one does not stop the rest."""
+def drain(outbox: DataFrame, chunk: int = 50) -> DataFrame:
+    """The entries that go out, with the request (`chunk`) that each goes in.
+
+    They go in order up to the first transient failure; a terminal one does not stop the rest.
+    """
     w = Window.partitionBy("client_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return outbox.withColumn("_stop", F.max(F.when(F.col("outcome") == "transient", 1).otherwise(0)).over(w)).where("_stop = 0").drop("_stop")
+    return outbox.withColumn("_stop", F.max(F.when(F.col("outcome") == "transient", 1).otherwise(0)).over(w)).where("_stop = 0").drop("_stop").withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("client_id").orderBy("seq")) - 1) / chunk))
 
 
 # Authorization

@@ -63,6 +63,12 @@ def affected(subscriptions: DataFrame, writes: DataFrame) -> DataFrame:
     return ranged.select("commit_ts", "sub_id").union(whole.select("commit_ts", "sub_id")).distinct()
 
 
+def affected_at(subscriptions: DataFrame, writes: DataFrame, polls: DataFrame) -> DataFrame:
+    """`affected`, and the subscriptions of global tables whose version rose: `polls` has (commit_ts, keyspace)."""
+    risen = polls.join(subscriptions.select("sub_id", "keyspace"), "keyspace").select("commit_ts", "sub_id")
+    return affected(subscriptions, writes).union(risen).distinct()
+
+
 def conflicts(transactions: DataFrame, reads: DataFrame, writes: DataFrame) -> DataFrame:
     """Optimistic validation as a report: transactions whose validated reads a later commit wrote into.
 

@@ -15,6 +15,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marlspike.functions.hashing import parse_id
+from marlspike.operators.incremental import overlay
 from marlspike.operators.prefix import numbered
 from marlspike.plans.predicates import all_of, bag, residual
 
@@ -34,12 +36,41 @@ class IndexSpec:
 
 @dataclass
 class Page:
-    """A page: its rows in order, where to go on, whether there is more, and whether the scan limit cut it short."""
+    """A page: its rows in order, where to go on, whether there is more, and whether the scan limit cut it short.
+
+    It owns the keys past `after` (a cursor, null from the start), up to and with `upto` (null to the end): the last row's
+    key if there is more. A page without rows owns all that is left.
+    """
 
     rows: list
     next_cursor: str | None
     has_more: bool
     scan_capped: bool
+    after: str | None = None
+    upto: str | None = None
+
+
+class CursorError(ValueError):
+    """A cursor that cannot be used; `code` is malformed, version or kind."""
+
+    def __init__(self, code: str):
+        super().__init__(f"{code} cursor")
+        self.code = code
+
+
+def encode_position(kind: str, value) -> str:
+    """A cursor of a kind: `simple` (an offset or token) or `index` (the values of an index key)."""
+    if kind not in ("simple", "index"):
+        raise CursorError("kind")
+    return encode_cursor([kind, *(value if kind == "index" else [value])])
+
+
+def decode_position(cursor: str, kind: str):
+    """The value of a cursor of that kind."""
+    found, *values = decode_cursor(cursor)
+    if found != kind:
+        raise CursorError("kind")
+    return values if kind == "index" else values[0]
 
 
 def encode_cursor(values: list) -> str:
@@ -56,11 +87,11 @@ def encode_cursor(values: list) -> str:
 def decode_cursor(cursor: str) -> list:
     try:
         body = json.loads(base64.urlsafe_b64decode(cursor.encode()))
-        if body["v"] != 1:
-            raise ValueError
-        values = body["key"]
+        version, values = body["v"], body["key"]
     except Exception as e:
-        raise ValueError("malformed cursor") from e
+        raise CursorError("malformed") from e
+    if version != 1:
+        raise CursorError("version")
 
     def untag(v):
         if isinstance(v, dict):
@@ -191,6 +222,21 @@ class Query:
 
     def paginate(self, page_size: int, cursor: str | None = None, max_scan: int | None = None) -> Page:
         """One page. One match more than the page is fetched to see whether there is more."""
+        page = self._page(page_size, cursor, max_scan)
+        last = encode_cursor([page.rows[-1][c] for c in self.index.order]) if page.rows and page.has_more else None
+        return replace(page, after=cursor, upto=last)
+
+    def over_staged(self, staged: DataFrame, key: str) -> Query:
+        """The query over its rows with a transaction's own staged writes (with `op` put or delete) laid over them."""
+        return replace(self, df=overlay(self.df, staged, key))
+
+    def pinned(self, shard_key: str) -> Query:
+        """The query, if it reads one shard: its index starts with the shard key, and an equality binds it. Else raises."""
+        if self.index.columns[:1] != (shard_key,) or not any(op == "eq" and name == shard_key for op, name, _ in self.range_terms):
+            raise ValueError(f"a scan inside a shard has to pin {shard_key!r} by equality on an index that starts with it")
+        return self
+
+    def _page(self, page_size: int, cursor: str | None, max_scan: int | None) -> Page:
         order = self.index.order
         rows = self.page_frame(page_size + 1, cursor, max_scan).collect()
         page, extra = rows[:page_size], len(rows) > page_size
@@ -218,12 +264,37 @@ class Query:
         return pages.join(pages.select((F.col("page") - 1).alias("page"), F.col("first").alias("next_first")), "page", "left")
 
     def diffable(self, reads: int = 1, returned_untouched: bool = True) -> str | None:
-        """How changes reach a standing query: "range" or "page", or None if it has to run again.
+        """How changes reach a standing query: "range", or "page" with a limit; None if it has to run again.
 
-        Row-level diffs need a single bare read whose result is returned untouched, with no policy and no limit.
+        Row-level diffs need a single bare read whose result is returned untouched, with no policy. `standing.classify`
+        does this for a table of runs, by-id reads and cut pages included.
         """
-        bare = reads == 1 and returned_untouched and self.policy is None and self.limit is None
-        return "range" if bare else None
+        bare = reads == 1 and returned_untouched and self.policy is None
+        return ("range" if self.limit is None else "page") if bare else None
+
+
+@dataclass
+class Catalog:
+    """Tables by name, each with its indexes by name; every table has `by_creation` and `by_id` besides."""
+
+    frames: dict[str, DataFrame]
+    tie: tuple[str, ...]
+    indexes: dict[str, dict[str, tuple[str, ...]]]
+
+    def query(self, table: str, index: str = "by_creation") -> Query:
+        """A query over one index of a table; a table or index that is not known raises."""
+        if table not in self.frames:
+            raise KeyError(f"unknown table {table!r}")
+        known = {"by_creation": (), "by_id": self.tie[-1:], **self.indexes.get(table, {})}
+        if index not in known:
+            raise KeyError(f"unknown index {index!r} of {table!r}")
+        return Query(self.frames[table], IndexSpec(index, tuple(known[index]), self.tie))
+
+    def get(self, table: str, doc_id: str, policy: Column | None = None) -> DataFrame:
+        """The document of an identifier: no row if it is absent or the policy hides it; a malformed identifier raises."""
+        parse_id(doc_id)
+        found = self.query(table, "by_id").eq(self.tie[-1], doc_id).scan().limit(1)
+        return found if policy is None else found.where(policy)
 
 
 def over(df: DataFrame, columns: list[str], tie: list[str], name: str = "by_columns") -> Query:

@@ -418,10 +418,10 @@ def receipts_sweep(spark, sf_dir):
     return jobs.sweep_receipts(e, floors, 5000, 1000)[1].select("client_id", "floor")
 
 
-@query("select user_id as client_id, event_id as seq from (select *, max(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by event_id) as stop from events) where stop = 0")
+@query("select client_id, seq, (row_number() over (partition by client_id order by seq) - 1) // 50 as chunk from (select user_id as client_id, event_id as seq from (select *, max(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by event_id) as stop from events) where stop = 0)")
 def outbox_drain(spark, sf_dir):
     out = table(spark, sf_dir, "events").select(F.col("user_id").alias("client_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "transient").otherwise("ok").alias("outcome"))
-    return jobs.drain(out).select("client_id", "seq")
+    return jobs.drain(out).select("client_id", "seq", "chunk")
 
 
 @query("""select n_nationkey as user_id, n_regionkey as scope_id, max(case when p.pattern in ('orders:read', 'orders:*', '*:read', '*:*') then 1 else 0 end) = 1 as granted
@@ -454,4 +454,4 @@ def extension_group_by(spark, sf_dir):
     return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
-from marlspike.queries import extra  # noqa: E402,F401  (registers more queries here)
+from marlspike.queries import extra, more  # noqa: E402,F401  (register more queries here)

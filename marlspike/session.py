@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,10 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+#: Spark's switch that removes the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def get_spark(app: str = "marlspike", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benches; on a cluster the caller brings its own session."""
@@ -60,10 +66,28 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
-    """Cut lineage with a table in the shared folder: lost executors cost a re-read, not a recomputation."""
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with some settings while the block runs."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, tag: str = "step", records: int | None = None) -> DataFrame:
+    """Cut lineage with a table in the shared folder: lost executors cost a re-read, not a recomputation.
+
+    The shuffle files of the write go when it ends, since nothing reads them again. `records` is the size of the
+    batches that go to Python, for rows with long texts.
+    """
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with settings(df.sparkSession, {CLEANUP: "true"} | ({RECORDS: str(records)} if records else {})):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._marlspike_path = path
     left_over(df.sparkSession).append(path)
