@@ -46,7 +46,8 @@ def stab(points: DataFrame, intervals: DataFrame, key: str = "key") -> DataFrame
     kept = kept.where(F.col("high").isNull() | (F.col("low") < F.col("high")))
     last = F.least(F.coalesce(F.col("high").cast("long") - 1, "_top"), "_top")
     stored = kept.withColumn("_at", F.explode(stored_cells(F.col("low").cast("long"), last))).drop("keyspace", "_top")
-    places = [F.struct(F.lit(i).alias("l"), (F.shiftright(F.col(key).cast("long"), STEP * i) if i else F.col(key).cast("long")).alias("c")) for i in range(LEVELS)]
+    levels = sorted(r[0] for r in stored.select("_at.l").distinct().collect())  # 11 at most; points look at no other
+    places = [F.struct(F.lit(i).alias("l"), (F.shiftright(F.col(key).cast("long"), STEP * i) if i else F.col(key).cast("long")).alias("c")) for i in levels or [0]]
     asked = points.withColumn("_p", F.explode(F.array(*places)))
     met = asked.join(stored, (asked["keyspace"] == stored["_ks"]) & (F.col("_p.l") == F.col("_at.l")) & (F.col("_p.c") == F.col("_at.c")))
     return met.where(holds(F.col(key), F.col("low"), F.col("high"))).drop("_p", "_at", "_ks")
