@@ -80,6 +80,20 @@ def encode_key_part(v: Any) -> bytes:
     raise TypeError("only scalars make an index key")
 
 
+def order_key(v: Any) -> tuple:
+    """A key that sorts any values in the total order: by type, then null, Booleans, numbers, integers, texts and bytes by
+    value, arrays by their elements and objects by their fields in order of name, a shorter one before its extensions.
+    """
+    if isinstance(v, list | tuple):
+        return (8, [order_key(x) for x in v])
+    if isinstance(v, dict):
+        return (9, [(k.encode(), order_key(v[k])) for k in sorted(v, key=str.encode)])
+    part = encode_key_part(v)
+    if isinstance(v, str | bytes | bytearray):
+        return (part[0], v.encode() if isinstance(v, str) else bytes(v))
+    return (part[0], part)
+
+
 def encode_key(values: list) -> bytes:
     return b"".join(map(encode_key_part, values))
 

@@ -7,6 +7,7 @@ side, so a document with very many revisions costs one row per task in the shuff
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -151,11 +152,13 @@ def index_scan(entries: DataFrame, log: DataFrame, ts: int, low=None, high=None)
     return newest.drop("deleted").join(as_of(log, ts).select("doc_id", F.col("ts").alias("rev_ts"), "value"), "doc_id")
 
 
-def write(log: DataFrame, batch: DataFrame, overwrite: bool = False) -> DataFrame:
+def write(log: DataFrame, batch: DataFrame, overwrite: bool = False, guards: list[Callable[[DataFrame], None]] = ()) -> DataFrame:
     """The log with a batch appended. A revision that is there raises, or gives way with `overwrite`; within the batch
-    the last row (by column `seq`) wins."""
+    the last row (by column `seq`) wins. Each guard sees the batch first, in turn; one that raises ends the whole write."""
     key = [*KEY, "ts"]
     last = batch.groupBy(*key).agg(F.max_by("value", "seq").alias("value"))
+    for guard in guards:
+        guard(last)
     if overwrite:
         return log.join(last, key, "left_anti").unionByName(last)
     if not log.join(last, key, "left_semi").isEmpty():

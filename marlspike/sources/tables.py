@@ -66,3 +66,15 @@ def from_row(rows: DataFrame, schema: T.StructType) -> DataFrame:
         return F.from_json(c, f.dataType) if isinstance(f.dataType, T.StructType | T.ArrayType | T.MapType) else c.cast(f.dataType)
 
     return rows.select(*[field(f).alias(f.name) for f in schema])
+
+
+def put_globals(known: DataFrame, writes: DataFrame, if_absent: bool = False) -> DataFrame:
+    """The key-value table after writes (key, value, seq), with `inserted`: whether a key is new.
+
+    The last write of a key wins; with `if_absent` the first one does, and only where the key is not there.
+    """
+    pick = F.min_by if if_absent else F.max_by
+    fresh = writes.groupBy("key").agg(pick("value", "seq").alias("_new")).withColumn("_w", F.lit(True))
+    met = known.join(fresh, "key", "full_outer").withColumn("_k", F.col("value").isNotNull())
+    value = F.coalesce("value", "_new") if if_absent else F.when(F.col("_w"), F.col("_new")).otherwise(F.col("value"))
+    return met.select("key", value.alias("value"), (~F.col("_k") & F.coalesce("_w", F.lit(False))).alias("inserted"))
