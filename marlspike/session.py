@@ -119,8 +119,13 @@ def discard(*tables: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, so Python stages import it wherever the driver was started."""
+    """Give executors this package, so Python stages import it wherever the driver was started.
+
+    Batches that go to Python get 1,024 rows where the session has Spark's default of 10,000: rows here hold whole texts.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(RECORDS) == "10000":
+        spark.conf.set(RECORDS, "1024")
     if getattr(sc, "_marlspike_shipped", False):
         return
     here = Path(__file__).resolve().parent
