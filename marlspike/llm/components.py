@@ -6,29 +6,39 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marlspike.session import materialize
+from marlspike.session import discard, materialize
 
 
-def near(prints: np.ndarray, one: np.ndarray, rows: np.ndarray, distance: int) -> np.ndarray:
-    """Which of `rows` lie within the Hamming distance of `one`. prints: (n, words) of uint64."""
-    return rows[np.bitwise_count(prints[rows] ^ one).sum(1, dtype=np.int32) <= distance]
+def sorted_segments(prints: np.ndarray) -> np.ndarray:
+    """Each 2-bit segment's bit count, written with that many low bits set.
 
+    The Hamming distance of two such codes is the Manhattan distance of the two vectors of bit counts.
+    """
+    high, pairs = prints >> np.uint64(1), np.uint64(0x5555555555555555)
+    return ((prints & high & pairs) << np.uint64(1)) | ((prints | high) & pairs)
 
-def forest(prints: np.ndarray, distance: int, exact_over: int = 200_000, parents: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links among distinct fingerprints: (member, root) rows, root the lowest row reached.
 
-    With `parents`, rows are (member, the linked row that reached it), so that each row is itself a link.
+def within(prints: np.ndarray, counts: np.ndarray, a, b, distance: int) -> np.ndarray:
+    """Which of the pairs (a, b) are in range: Manhattan distance of the bit counts first, then the exact distance."""
+    a, b = np.broadcast_arrays(a, b)
+    hit = np.bitwise_count(counts[a] ^ counts[b]) <= distance
+    hit[hit] = np.bitwise_count(prints[a[hit]] ^ prints[b[hit]]) <= distance
+    return hit
+
 
-    A search from each unvisited row over the rows not yet reached. Rows are sorted by popcount first: popcounts of
-    linked rows differ by no more than the distance (the Manhattan bound over one segment), so each step looks at a
-    slice only. One-word groups over `exact_over` rows are first split by their four 16-bit blocks: three bits spoil
-    three blocks at most, so every link stays inside one of the parts.
+def forest(prints: np.ndarray, distance: int, exact_over: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links among distinct fingerprints: (member, root) rows, root the lowest row reached.
+
+    A search from each unvisited row over the rows not yet reached. Rows are sorted by popcount once; popcounts of
+    linked rows differ by no more than the distance, so each step looks at a slice only. Groups over `exact_over` rows
+    are first split by their four 16-bit blocks: three bits spoil three blocks at most, so every link stays inside one
+    of the parts.
     """
     n = len(prints)
-    if n > exact_over and prints.shape[1] == 1 and distance <= 3:
+    if n > exact_over and distance <= 3:
         found = []
         for block in range(4):
-            key = prints[:, 0] >> np.uint64(16 * block) & np.uint64(0xFFFF)
+            key = prints >> np.uint64(16 * block) & np.uint64(0xFFFF)
             order = np.argsort(key, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
                 if 1 < len(part):
@@ -36,131 +46,110 @@ def forest(prints: np.ndarray, distance: int, exact_over: int = 200_000, parents
                     a, b = forest(prints[part], distance, exact_over=n + 1)
                     found.append((part[a], part[b]))
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-    pops = np.bitwise_count(prints).sum(1, dtype=np.int32)
-    left = np.lexsort((np.arange(n), pops))
-    members, roots = [], []
-    while len(left):
-        root_row, left = left[0], left[1:]
-        reached, queue, via = [root_row], [root_row], []
-        while queue and len(left):
-            x = queue.pop()
-            lo, hi = np.searchsorted(pops[left], [pops[x] - distance, pops[x] + distance + 1])
-            hit = near(prints, prints[x], left[lo:hi], distance)
-            if len(hit):
-                reached += hit.tolist()
-                queue += hit.tolist()
-                via += [x] * len(hit)
-                left = np.concatenate([left[:lo], np.setdiff1d(left[lo:hi], hit, assume_unique=True), left[hi:]]) if len(hit) < hi - lo else np.concatenate([left[:lo], left[hi:]])
-                left = left[np.lexsort((left, pops[left]))]
-        if parents:
-            members += reached[1:]
-            roots += via
-        elif len(reached) > 1:
-            low = min(reached)
-            rest = [r for r in reached if r != low]
-            members += rest
-            roots += [low] * len(rest)
-    return np.array(members, np.int64), np.array(roots, np.int64)
-
-
-def whole_cells(cells: DataFrame, words: int, found, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (u long, v long) that `found(cell, node, prints, *extra)` gives for whole cells, distinct.
-
-    `cells` has columns cell (long), node (long), p0..p{words-1} (long) and the longs named in `extra`. Rows of a cell
-    meet in one task in sorted order and are streamed.
+    order = np.argsort(np.bitwise_count(prints), kind="stable")
+    prints = prints[order]
+    pops, counts, left = np.bitwise_count(prints).astype(np.int64), sorted_segments(prints), np.ones(n, bool)
+    lo, hi = np.searchsorted(pops, pops - distance), np.searchsorted(pops, pops + distance, side="right")
+    members, roots = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start] = False
+        reached, at = [start], 0
+        while at < len(reached):
+            x, at = reached[at], at + 1
+            some = lo[x] + np.flatnonzero(left[lo[x] : hi[x]])
+            some = some[within(prints, counts, x, some, distance)]
+            left[some] = False
+            reached += some.tolist()
+        if len(reached) > 1:
+            own = np.sort(order[reached])
+            members.append(own[1:])
+            roots.append(np.full(len(own) - 1, own[0]))
+    return np.concatenate(members), np.concatenate(roots)
+
+
+def whole_cells(cells: DataFrame, found) -> DataFrame:
+    """Rows (u long, v long) that `found(columns)` gives for whole cells, distinct.
+
+    `cells` has columns cell (long), node (long) and any others; longs come as numpy arrays, the rest as Arrow arrays.
+    Rows of a cell meet in one task in sorted order and are streamed; only the last cell of a batch is held until it
+    ends.
     """
-    names = [f"p{i}" for i in range(words)]
+
+    def said(parts):
+        columns = [c.combine_chunks() for c in pa.Table.from_batches(parts).columns]
+        u, v = found([c.to_numpy(zero_copy_only=False) if pa.types.is_integer(c.type) else c for c in columns])
+        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     def stream(batches):
-        held = None
+        held = []
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-            fresh = (cols[0], cols[1], np.stack(cols[2 : 2 + words], 1).view(np.uint64), *cols[2 + words :])
-            held = fresh if held is None else tuple(np.concatenate(x) for x in zip(held, fresh))
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last cell can go on in the next batch
-            if cut:
-                u, v = found(*(x[:cut] for x in held))
-                yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
-                held = tuple(x[cut:] for x in held)
-        if held is not None and len(held[0]):
-            u, v = found(*held)
-            yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
-
-    met = cells.select("cell", "node", *names, *extra).repartition("cell").sortWithinPartitions("cell", "node")
-    return met.mapInArrow(stream, "u long, v long").distinct()
+            if not b.num_rows:
+                continue
+            cell = b.column(0).to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1]))  # the last cell can go on in the next batch
+            if cut or held and held[-1].column(0)[-1].as_py() != cell[0]:
+                yield said([*held, b.slice(0, cut)])
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield said(held)
+        pa.default_memory_pool().release_unused()  # the worker lives on
+
+    return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(stream, "u long, v long").distinct()
+
+
+def edges_of(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, number of rows) of each run of equal cells."""
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    return first, np.diff(np.r_[first, len(cell)])
+
+
+def small_pairs(first: np.ndarray, sizes: np.ndarray, most: int = 12):
+    """Arrays (a, b) of all pairs of rows within cells of up to `most` rows, one array for each gap."""
+    for gap in range(1, most):
+        at = np.flatnonzero((sizes > gap) & (sizes <= most))
+        if not len(at):
+            break
+        reps = sizes[at] - gap
+        a = np.repeat(first[at], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
+        yield a, a + gap
 
 
-def cell_links(cells: DataFrame, words: int, distance: int, parents: bool = False) -> DataFrame:
-    """Links among the rows of each cell: (u long, v long) with u > v.
+def cell_links(cells: DataFrame, distance: int) -> DataFrame:
+    """Links among the rows of each cell: (u long, v long) with u > v. `cells` has columns cell, node and print.
 
     Small cells are compared all at once, larger ones by `forest`. Only rows of a forest or of small cells leave the
     task, so output grows with members, not with pairs.
     """
 
-    def groups(cell, node, prints):
-        """Links of whole cells, rows sorted by cell."""
-        out_u, out_v = [], []
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        sizes = np.diff(np.r_[first, len(cell)])
-        for gap in range(1, 12):  # cells of up to 12 rows: each pair at this gap within the same cell
-            at = np.flatnonzero(sizes > gap)
-            at = at[sizes[at] <= 12]
-            if not len(at):
-                break
-            reps = sizes[at] - gap
-            a = np.repeat(first[at], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
-            hit = a[np.bitwise_count(prints[a] ^ prints[a + gap]).sum(1, dtype=np.int32) <= distance]
-            out_u.append(node[hit])
-            out_v.append(node[hit + gap])
+    def groups(cols):
+        cell, node, prints = cols[0], cols[1], cols[2].view(np.uint64)
+        counts, (first, sizes) = sorted_segments(prints), edges_of(cell)
+        out_u, out_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a, b in small_pairs(first, sizes):
+            hit = within(prints, counts, a, b, distance)
+            out_u.append(node[a[hit]])
+            out_v.append(node[b[hit]])
         for f, s in zip(first[sizes > 12], sizes[sizes > 12]):
-            a, b = forest(prints[f : f + s], distance, parents=parents)
+            a, b = forest(prints[f : f + s], distance)
             out_u.append(node[f + a])
             out_v.append(node[f + b])
-        u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_u, out_v))
+        u, v = np.concatenate(out_u), np.concatenate(out_v)
         keep = u != v
         return np.maximum(u, v)[keep], np.minimum(u, v)[keep]
 
-    return whole_cells(cells, words, groups)
-
+    return whole_cells(cells.select("cell", "node", "print"), groups)
 
-#: In place of a pair, says that some row had more candidates than were given.
-MORE = -1
 
-
-def cross_links(cells: DataFrame, words: int, distance: int, nearest: int) -> DataFrame:
-    """For each row of a cell its `nearest` rows within the distance whose column `label` differs: (u, v), u > v.
-
-    A row (MORE, MORE) says that some row has further ones; the caller then asks again with a larger `nearest`.
-    """
-
-    def groups(cell, node, prints, label):
-        out_u, out_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        for f, s in zip(first, np.diff(np.r_[first, len(cell)])):
-            part, step = slice(f, f + s), max(1, 2_000_000 // s)
-            for lo in range(f, f + s, step):
-                hi = min(lo + step, f + s)
-                far = np.bitwise_count(prints[lo:hi, None] ^ prints[None, part]).sum(2, dtype=np.int32)
-                far[label[lo:hi, None] == label[None, part]] = distance + 1
-                some = np.argpartition(far, nearest, axis=1)[:, :nearest] if nearest < s else np.broadcast_to(np.arange(s), far.shape)
-                r, c = np.nonzero(np.take_along_axis(far, some, 1) <= distance)
-                out_u.append(node[lo + r])
-                out_v.append(node[f + some[r, c]])
-                if nearest < s and ((far <= distance).sum(1) > nearest).any():
-                    out_u.append(np.array([MORE]))
-                    out_v.append(np.array([MORE]))
-        u, v = np.concatenate(out_u), np.concatenate(out_v)
-        return np.maximum(u, v), np.minimum(u, v)
-
-    return whole_cells(cells, words, groups, ("label",))
-
-
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root) for every node of a link, root the lowest node it reaches.
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of a link, root the lowest node it reaches; a written table.
 
     Alternating star contraction: each node hands its lowest neighbour to its higher neighbours, then to its lower
-    ones. Each round writes its edges to the shared folder. Minima are pre-aggregated before the shuffle, and a node
-    with very many links meets them in a join that adaptive execution can split.
+    ones, until nothing changes; rounds grow with the logarithm of the nodes. Each round writes its edges to the shared
+    folder and drops the round's before. Minima are pre-aggregated before the shuffle, and a node with very many links
+    meets them in a join that adaptive execution can split.
     """
     edges = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
 
@@ -170,8 +159,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    seen = state(edges)
-    for _ in range(rounds):
+    seen, now = None, state(edges)
+    while now != seen:
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).union(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
         lows = low(both).select("n", F.least("n", "low").alias("low"))
         # large star: every higher neighbour of n is linked to n's lowest
@@ -180,11 +169,10 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         lows = low(large.select(F.col("u").alias("n"), F.col("v").alias("m")))
         met = large.join(lows, large["u"] == lows["n"]).select("u", "v", "low")
         small = met.select(F.col("v").alias("u"), F.col("low").alias("v")).union(met.select("u", F.col("low").alias("v"))).where("u <> v").distinct()
-        edges = materialize(small, "edges")
-        now = state(edges)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        before, edges = edges, materialize(small, "edges")
+        discard(before)
+        seen, now = now, state(edges)
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    out = materialize(roots, "roots")
+    discard(edges)
+    return out

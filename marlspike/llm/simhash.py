@@ -3,15 +3,12 @@
 A fingerprint's 2-bit segments are mapped to their bit counts (32 coordinates from 0 to 2). The Manhattan distance of
 two such vectors never exceeds the Hamming distance, so links at 3 or fewer bits lie within Manhattan distance 3. The
 range join over that distance uses sub-grids: the coordinates form six groups, three units can touch three groups at
-most, so any two vectors in range share their cell in one of the twenty sub-grids of three groups. Rows of a cell are
-then verified by exact Hamming distance. Every link is found; no cell is capped.
+most, so any two vectors in range share their cell in one of the twenty sub-grids of three groups. Rows of a cell that
+lie within the Manhattan distance are then verified by exact Hamming distance. Every link is found; no cell is capped.
 
-`wide_groups` is for shingle similarity of 0.8 or more, where a 64-bit fingerprint differs in about ten bits and no
-grid of popcounts prunes (measured on the test tables: median 9, 99 % within 17 bits). It keeps the fingerprint's
-signed counts over 256 bits, takes as cell the dominant coordinate of three rotated segments, and takes as candidates
-rows of a cell within an exact Hamming distance over 256 bits, with total popcount as the Manhattan bound. Candidates
-are then verified by the similarity of their shingle sets. These cells can miss a pair, so what is left apart goes
-through an exact join on prefixes of the shingle sets, which has no such loss and no bound on distance.
+`deduplicate` is for shingle similarity of 0.8 or more, where a 64-bit fingerprint differs in about ten bits and no
+grid of popcounts prunes (measured on the test tables: median 9, 99 % within 17 bits). It applies the same embedding to
+the bitmap of all shingle hashes instead; `neardup` has that.
 
 Defined cases: a null text is the empty text; a text without words has fingerprint zero and is linked like any other;
 repeated rows share a fingerprint and so a component; a null identifier is no component's smallest unless all are
@@ -24,26 +21,23 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from marlspike.llm.components import MORE, cell_links, components, cross_links, whole_cells
+from marlspike.llm.components import cell_links, components
+from marlspike.llm.neardup import groups_of
 from marlspike.llm.text import folded_words, shingle_hashes, texts_of
-from marlspike.session import materialize, ship
+from marlspike.session import discard, materialize, ship
 
 PAIRS = 0x5555555555555555
 #: Coordinates (2-bit segments) in each of the six groups.
 GROUPS = (6, 6, 5, 5, 5, 5)
-WIDE_WORDS = 4
-#: Counters that shingles share for the order of prefixes; it settles how many pairs meet, never which are found.
-COUNTERS = 1 << 18
 
 
-def bit_counts(hashes: np.ndarray, words: int = 1) -> np.ndarray:
-    """How many hashes have each bit set; hashes: (n, words)."""
-    total = np.zeros(64 * words, np.int64)
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit set."""
+    total = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 8192):
-        bits = np.unpackbits(np.ascontiguousarray(hashes[lo : lo + 8192]).view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little")
+        bits = np.unpackbits(np.ascontiguousarray(hashes[lo : lo + 8192]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         while len(bits) > 255:  # sums of up to 255 rows stay in bytes
             k = len(bits) // 255
             total += np.add.reduce(bits[: 255 * k].reshape(k, 255, -1), axis=1, dtype=np.uint8).sum(0, dtype=np.int64)
@@ -57,7 +51,7 @@ def fingerprint(text: str, k: int) -> int:
     h = shingle_hashes(folded_words(text), k)
     if not len(h):
         return 0
-    return int(np.packbits(bit_counts(h.reshape(-1, 1)) * 2 > len(h), bitorder="little").view("<u8")[0])
+    return int(np.packbits(bit_counts(h) * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprint_udf(k: int):
@@ -87,11 +81,11 @@ def popcount_vector(p: Column) -> Column:
 
 
 def sub_grid_cells(prints: DataFrame) -> DataFrame:
-    """(cell, node, p0): each distinct fingerprint in the cells of the twenty sub-grids."""
+    """(cell, node, print): each distinct fingerprint in the cells of the twenty sub-grids."""
     masks = [signed(sum(c)) for c in combinations(group_masks(), 3)]
     v = popcount_vector(F.col("fp"))
     keys = F.array(*[F.xxhash64(F.lit(i), v.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    return prints.select(F.explode(keys).alias("cell"), F.col("fp").alias("node"), F.col("fp").alias("p0"))
+    return prints.select(F.explode(keys).alias("cell"), F.col("fp").alias("node"), F.col("fp").alias("print"))
 
 
 def link(docs: DataFrame, k: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,229 +95,28 @@ def link(docs: DataFrame, k: int = 3, distance: int = 3, id_col: str = "doc_id",
     ship(docs.sparkSession)
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(k)(text_col).alias("fp")), "prints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(cell_links(sub_grid_cells(distinct), 1, distance))
+    roots = components(cell_links(sub_grid_cells(distinct), distance))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_print = named.join(smallest, "root").select("fp", "component_id")
     return rows.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def spread(h: np.ndarray, words: int) -> np.ndarray:
-    """`words` 64-bit hashes from one, by the splitmix finalizer over distinct offsets."""
-    z = h[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return z ^ z >> np.uint64(31)
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`docs` with one row of each near-duplicate group (see `neardup`): the one with the lowest identifier.
 
-
-def signed_counts(text: str, k: int) -> np.ndarray:
-    """Per bit of the wide fingerprint: distinct hashes that set it less those that don't, scaled to unit length."""
-    h = np.unique(shingle_hashes(folded_words(text), k))
-    if not len(h):
-        return np.zeros(64 * WIDE_WORDS, np.float32)
-    s = 2.0 * bit_counts(spread(h, WIDE_WORDS), WIDE_WORDS) - len(h)
-    return (s / max(1e-9, float(np.sqrt((s * s).sum())))).astype(np.float32)
-
-
-def rotation(tables: int, hashes: int, size: int) -> np.ndarray:
-    """Fixed Gaussian directions: one segment of `size` coordinates for each table and hash."""
-    return np.random.default_rng(20_240_601).standard_normal((64 * WIDE_WORDS, tables * hashes * size)).astype(np.float32)
-
-
-def wide_cells(docs: DataFrame, k: int, tables: int, hashes: int, size: int = 32) -> DataFrame:
-    """(row, p0..p3, cells): wide fingerprint and its cells. `docs` has columns row and text."""
-
-    def cells(batches):
-        turn = rotation(tables, hashes, size)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo in range(0, len(texts), 512):
-                s = np.stack([signed_counts(t or "", k) for t in texts[lo : lo + 512]])
-                prints = np.packbits(s > 0, axis=1, bitorder="little").view("<u8")
-                turned = (s @ turn).reshape(len(s), tables, hashes, size)
-                top = np.abs(turned).argmax(3)
-                sign = np.take_along_axis(turned, top[..., None], 3)[..., 0] > 0
-                cell = np.zeros((len(s), tables), np.int64)
-                for i in range(hashes):
-                    cell = cell * (2 * size) + top[:, :, i] * 2 + sign[:, :, i]
-                cell += np.arange(tables, dtype=np.int64) << 48
-                cols = [b.column(0).slice(lo, 512), *[pa.array(prints[:, i].view(np.int64)) for i in range(WIDE_WORDS)], pa.array(list(cell), pa.list_(pa.int64()))]
-                yield pa.record_batch(cols, ["row", *[f"p{i}" for i in range(WIDE_WORDS)], "cells"])
-
-    return docs.select("row", "text").mapInArrow(cells, "row long, p0 long, p1 long, p2 long, p3 long, cells array<long>")
-
-
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, set): the sorted distinct shingles of a text, 32 bits of each hash. `docs` has columns node and text."""
-
-    def sets(batches):
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                found = [np.unique(shingle_hashes(folded_words(t or ""), k).astype(np.uint32)).tobytes() for t in texts[lo : lo + 256]]
-                yield pa.record_batch([b.column(0).slice(lo, 256), pa.array(found, pa.binary())], ["node", "set"])
-
-    return docs.select("node", "text").mapInArrow(sets, "node long, set binary")
-
-
-def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of `pairs` (u, v) whose shingle sets are alike by `least` or more; two empty sets are alike.
-
-    A set's size alone rules out many pairs, so sizes are joined first and sets only for what is left.
-    """
-
-    def alike(batches):
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = both >= least * (len(x) + len(y) - both)
-            yield pa.record_batch([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep))
-
-    size = sets.select("node", F.length("set").alias("n"))
-    sized = pairs.join(size.toDF("u", "nu"), "u").join(size.toDF("v", "nv"), "v")
-    near = sized.where(F.least("nu", "nv") >= least * F.greatest("nu", "nv")).select("u", "v")
-    met = near.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v").select("u", "v", "su", "sv")
-    return met.mapInArrow(alike, "u long, v long")
-
-
-def counted(sets: DataFrame) -> np.ndarray:
-    """How many sets hold a shingle of each counter: one array of fixed size, whatever the table."""
-
-    def counts(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            held = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(x.as_buffer(), np.uint32) for x in b.column(0)]])
-            total += np.bincount(held & np.uint32(COUNTERS - 1), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["at", "n"])
-
-    out = np.zeros(COUNTERS, np.int64)
-    for r in sets.select("set").mapInArrow(counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["at"]] = r["n"]
-    return out
-
-
-def prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(node, size, cells): of each set the rarest shingles, so many that two sets alike by `least` share one.
-
-    Alike sets share `least` x size shingles of either, so in one order of all shingles the first that they share is
-    among the first size - least x size + 1 of each. The order is by counter, then by hash: any order is exact, and
-    this one leaves common shingles out of prefixes.
-    """
-    count = counted(sets)
-
-    def cells(batches):
-        for b in batches:
-            size, found = [], []
-            for x in b.column(1):
-                x = np.frombuffer(x.as_buffer(), np.uint32)
-                order = np.lexsort((x, count[x & np.uint32(COUNTERS - 1)]))
-                size.append(len(x))
-                found.append(x[order[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1]].astype(np.int64))
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "size", "cells"])
-
-    return sets.select("node", "set").mapInArrow(cells, "node long, size long, cells array<long>")
-
-
-def prefix_pairs(cells: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v), u > v, of differing `label` that share a cell and can still be alike by `least`.
-
-    `cells` has columns cell, node, p0 (the set's size times 2**32, plus the shingle's place in its order) and label.
-    Of two sets whose first common shingle is at some places, no more than the rest from there on is common; this
-    bounds their similarity. Nothing is capped.
-    """
-
-    def groups(cell, node, prints, label):
-        size, place = (prints[:, 0] >> np.uint64(32)).astype(np.int64), (prints[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        rest = size - place
-
-        def pick(a, b):
-            both = np.minimum(rest[a], rest[b])
-            return (label[a] != label[b]) & (both >= least * (size[a] + size[b] - both) - 1e-9)
-
-        out_u, out_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        sizes = np.diff(np.r_[first, len(cell)])
-        mixed = np.logical_or.reduceat(label != np.repeat(label[first], sizes), first)
-        first, sizes = first[mixed], sizes[mixed]
-        for gap in range(1, 12):  # cells of up to 12 rows: each pair at this gap within the same cell
-            at = np.flatnonzero((sizes > gap) & (sizes <= 12))
-            if not len(at):
-                break
-            reps = sizes[at] - gap
-            a = np.repeat(first[at], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
-            a = a[pick(a, a + gap)]
-            out_u.append(node[a])
-            out_v.append(node[a + gap])
-        for f, s in zip(first[sizes > 12], sizes[sizes > 12]):
-            step = max(1, 2_000_000 // s)
-            for lo in range(f, f + s, step):
-                a, b = np.arange(lo, min(lo + step, f + s))[:, None], np.arange(lo, f + s)[None]
-                r, c = np.nonzero(pick(a, b) & (a < b))
-                out_u.append(node[lo + r])
-                out_v.append(node[lo + c])
-        u, v = np.concatenate(out_u), np.concatenate(out_v)
-        return np.maximum(u, v), np.minimum(u, v)
-
-    return whole_cells(cells, 1, groups, ("label",))
-
-
-def wide_groups(docs: DataFrame, k: int = 5, least: float = 0.8, distance: int = 64, tables: int = 32, hashes: int = 3, nearest: int = 8) -> DataFrame:
-    """(row, group) for texts that share a near-duplicate group with another; group is the group's lowest row.
-
-    `docs` has columns row (long, unique) and text. Similarity 0.8 of equally long shingle sets means a cosine of
-    0.889 and 0.152 x 256 = 39 differing bits on average; the distance admits four standard deviations more, and every
-    link is verified by the sets. Equal fingerprints meet first, by a pre-aggregated minimum, so copies cost one row
-    however many they are.
-
-    Large cells give a spanning tree of candidates at first. Where one of them fails, the groups at its ends can still
-    be linked by another pair: rows there propose their `nearest` rows of other groups, then eight times as many, until
-    no row has further ones. So every candidate pair between two final groups has been looked at, and only those.
-
-    At last the sets themselves are joined on their prefixes, between groups only: every pair of sets alike by `least`
-    that no common cell or the distance kept apart is found there.
-    """
-    prints = [f"p{i}" for i in range(WIDE_WORDS)]
-    rows = materialize(wide_cells(docs, k, tables, hashes), "wide")
-    same = materialize(rows.groupBy(*prints).agg(F.min("row").alias("node"), F.min_by("cells", "row").alias("cells")), "same")
-    pairs = materialize(cell_links(same.select(F.explode("cells").alias("cell"), "node", *prints), WIDE_WORDS, distance, parents=True), "pairs")
-    sets = materialize(shingle_sets(docs.withColumnRenamed("row", "node").join(same.select("node"), "node", "left_semi"), k), "sets")
-    links = materialize(similar(pairs, sets, least), "links")
-    more = True
-    while more:
-        roots = materialize(components(links), "roots")
-        label = sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
-        failed = pairs.join(label.toDF("u", "lu"), "u").join(label.toDF("v", "lv"), "v").where("lu <> lv")
-        open_ = failed.select(F.explode(F.array("lu", "lv")).alias("label")).distinct()
-        some = label.join(open_, "label", "left_semi")
-        cells = same.join(some, "node").select(F.explode("cells").alias("cell"), "node", "label", *prints)
-        fresh = materialize(cross_links(cells, WIDE_WORDS, distance, nearest), "cross")
-        more = not fresh.where(F.col("u") == MORE).isEmpty()
-        fresh = materialize(fresh.where(F.col("u") != MORE).join(pairs, ["u", "v"], "left_anti"), "fresh")
-        found = materialize(similar(fresh, sets, least), "found")
-        more, nearest = more or not found.isEmpty(), nearest * 8
-        pairs, links = pairs.union(fresh), links.union(found)
-    cells = prefixes(sets, least).join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("label"), F.posexplode("cells").alias("place", "cell"))
-    cells = cells.select("cell", "node", F.shiftleft("size", 32).bitwiseOR(F.col("place").cast("long")).alias("p0"), "label")
-    fresh = materialize(prefix_pairs(cells, least).join(pairs, ["u", "v"], "left_anti"), "prefix")
-    found = materialize(similar(fresh, sets, least), "found")
-    if not found.isEmpty():
-        roots = materialize(components(links.union(found)), "roots")
-    named = same.join(roots, "node", "left").select(*prints, F.coalesce("root", "node").alias("group"))
-    return rows.select("row", *prints).join(named, prints).select("row", "group")
-
-
-def deduplicate(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """`docs` with one row of each near-duplicate group: the first by identifier order of the scan.
-
-    Texts without words share fingerprint zero and so one row of them stays. All columns are kept as they are.
+    Of equal identifiers the row with the lowest hash over all columns stays, so rows dealt over partitions in another
+    way give the same result; a null identifier stays only where a group has no other. All columns are kept as they are.
     """
     ship(docs.sparkSession)
     mark = "_row_" + "_".join(c for c in docs.columns if c.startswith("_row"))
-    marked = docs.withColumn(mark, F.monotonically_increasing_id())
-    marked = materialize(marked, "marked")
-    groups = wide_groups(marked.select(F.col(mark).alias("row"), F.col(text_col).alias("text")), **options)
-    drop = groups.where("row <> group").select(F.col("row").alias(mark))
+    everything = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+    marked = materialize(docs.withColumn(mark, F.monotonically_increasing_id()), "marked")
+    groups = groups_of(marked.select(F.col(mark).alias("row"), F.col(text_col).alias("text")), **options)
+    order = [F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), everything.alias("hash"), F.col(mark).alias("row")]
+    rank = marked.select(F.col(mark).alias("row"), F.struct(*order).alias("rank"))
+    best = groups.join(rank, "row").groupBy("group").agg(F.min("rank").alias("rank"), F.count("*").alias("rows")).where("rows > 1")
+    stays = best.select("group", F.col("rank.row").alias("stays"))
+    drop = materialize(groups.join(stays, "group").where("row <> stays").select(F.col("row").alias(mark)), "drop")
+    discard(groups)
     return marked.join(drop, mark, "left_anti").drop(mark)

@@ -7,7 +7,8 @@ text. All helpers take whole texts.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: ASCII upper case to lower case; every word separator to a space.
@@ -34,7 +35,7 @@ def shingle_hashes(words: list[bytes], k: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist())), np.uint64, n - k + 1)
 
 
-def texts_of(series: pd.Series) -> list[str]:
+def texts_of(series) -> list[str]:
     return [t if isinstance(t, str) else "" for t in series]
 
 
@@ -48,3 +49,13 @@ def text_chunks(texts: list[str], chars: int = 4_000_000):
             lo, total = i + 1, 0
     if lo < len(texts):
         yield lo, len(texts)
+
+
+def byte_chunks(texts: pa.Array, most: int = 2_000_000):
+    """Slices of an Arrow column with about `most` bytes each."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
