@@ -11,7 +11,8 @@ identifier, else 0x01 and the identifier as 8 big-endian bytes with the sign bit
 order. A value is the token ids, little-endian, 2 or 4 bytes each. The closing 0x0A is part of the format: Spark's
 text writer puts it there, and that writer brings the file-commit protocol of every Hadoop store with it.
 
-Defined cases: a null text is the empty text; repeated identifiers are repeated entries, ordered by text; a null
+Defined cases: a null text is the empty text; repeated identifiers are repeated entries, ordered by text, and equal rows
+are as many equal entries, which one task writes; a null
 identifier sorts first; an empty table gives no shard; other columns are ignored.
 """
 
@@ -26,11 +27,14 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlspike.session import scratch_path, ship
+from marlspike.llm.text import byte_chunks
+from marlspike.operators.prefix import running
+from marlspike.session import RECORDS, materialize, scratch_path, settings, ship
 
 MAGIC = b"MSSTABL1"
 #: index offset, index length, Bloom offset, Bloom length, documents, tokens, bytes per id, Bloom hashes, crc32 of
@@ -38,7 +42,12 @@ MAGIC = b"MSSTABL1"
 FOOTER = struct.Struct(">QQQQQQQIIQ8s")
 BLOCK_BYTES, SHARD_BYTES, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 8 << 20, 10, 7
 SIGN = 1 << 63
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Texts in a batch that goes to Python.
+TEXTS = 2048
+#: A small letter, a run of what is neither letter nor digit, and the end of a piece; the run is a token run of its own.
+TAIL = r"(\p{Ll})([!-/:-@\[-`{-~]+)( |$)"
+#: ASCII characters that are neither letters nor digits nor white space.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -173,24 +182,20 @@ class Shard:
         return found
 
 
-def fold(text: str) -> str:
-    """A-Z in lower case, as the tokenizer's own first step has it; left alone where that could make a special token."""
-    return text if "<|" in text else text.encode("utf-8", "replace").translate(LOWER).decode("utf-8")
-
-
 def plain(word: str) -> bool:
     """Letters alone, of scripts where lower case and composition leave letters alone."""
-    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word)
 
 
 class WordMemo:
     """Encodes texts with the tokenizer, one library call for each distinct space-separated piece.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are its pieces' ids in a row; the
-    tests hold this against whole-text encoding. Pieces over `longest` characters go to the library each time.
+    The tokenizer lower-cases, drops white space and never merges across it, so a text's ids are those of its folded
+    pieces in a row; the tests hold this against whole-text encoding. A-Z is folded first, unless a special token's mark
+    is in the text. Pieces over `longest` characters go to the library each time.
     """
 
-    def __init__(self, path: str, id_bytes: int, end_id: int, limit: int = 600_000, longest: int = 48):
+    def __init__(self, path: str, id_bytes: int, end_id: int, limit: int = 400_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -225,29 +230,51 @@ class WordMemo:
             found += [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [fold(t).replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        seen = set().union(*pieces)
-        fresh = {p for p in seen if p not in memo}
-        # A full stop or comma after letters alone is a token of its own.
-        tails = {p: p[:-1] for p in fresh if p[-1] in ".," and plain(p[:-1])}
-        letters = {p for p in tails.values() if p not in memo}
-        others = [p for p in (".", ",") if p not in memo]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, with the end id. Arrow splits the texts and numbers their distinct pieces."""
+        texts = pc.fill_null(texts, "")
+        lines = pc.replace_substring(texts, "\n", " ")
+        parted = pc.replace_substring_regex(pc.ascii_lower(lines), TAIL, r"\1 \2\3")
+        pieces = pc.split_pattern(pc.if_else(pc.match_substring(lines, "<|"), lines, parted), " ")
+        coded = pieces.flatten().dictionary_encode()
+        seen, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        value = [*map(self.memo.get, seen)]
+        fresh = [i for i, v in enumerate(value) if v is None]
+        for i, v in zip(fresh, self.learn([seen[i] for i in fresh])):
+            value[i] = v
+        width = int(self.kind[-1])
+        flat, size = np.frombuffer(b"".join(value), self.kind), np.fromiter(map(len, value), np.int64, len(value)) // width
+        first, each = np.cumsum(size) - size, size[number]
+        upto = np.cumsum(each)
+        ids = flat[np.repeat(first[number] - upto + each, each) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
+        ends = (np.r_[0, upto][pieces.offsets.to_numpy() - pieces.offsets[0].as_py()] * width).tolist()
+        return [ids[a:b] + self.end for a, b in zip(ends, ends[1:])]
+
+    def learn(self, fresh: list[str]) -> list[bytes]:
+        """Ids of pieces that the memo lacks; those of up to `longest` characters are kept in it."""
+        if len(self.memo) > self.limit:  # the older half goes
+            self.memo = {"": b""} | dict(islice(self.memo.items(), len(self.memo) // 2, None))
+        memo, letters, others, tails = self.memo, set(), set(), []
         for p in fresh:
-            if p not in tails and p not in letters:
-                letters.add(p) if plain(p) else others.append(p)
-        letters = [*letters]
+            head = p.rstrip(PUNCTUATION)
+            if not plain(head):
+                others.add(p)
+                continue
+            if head not in memo:
+                letters.add(head)
+            if len(head) < len(p):  # what follows letters alone is a run of its own
+                tail = p[len(head) :]
+                tails.append((p, head, tail))
+                if tail not in memo:
+                    others.add(tail)
+        letters, others = [*letters], [*others]
         memo |= zip(letters, self.words(letters))
         memo |= zip(others, self.call(others))
-        memo |= {p: memo[head] + memo[p[-1]] for p, head in tails.items()}
-        out = [b"".join([*map(memo.__getitem__, p), self.end]) for p in pieces]
-        for p in [p for p in (*letters, *others, *tails) if len(p) > self.longest]:
+        memo |= [(p, memo[head] + memo[tail]) for p, head, tail in tails]
+        found = [memo[p] for p in fresh]
+        for p in [p for p in (*letters, *others, *fresh) if len(p) > self.longest]:
             memo.pop(p, None)
-        if len(memo) > self.limit:  # the older half goes, but for what just came again
-            late = islice(memo.items(), len(memo) // 2, None)
-            self.memo = {"": b""} | {p: memo[p] for p in seen if p not in fresh and p in memo} | dict(late)
-        return out
+        return found
 
 
 @functools.lru_cache(maxsize=2)
@@ -266,22 +293,21 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_bytes:
     ordered = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
 
     def shards(batches):
-        from marlspike.llm.text import text_chunks
-
         memo, w = memo_for(tokenizer, id_bytes, end_id), ShardWriter(id_bytes)
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in text_chunks(texts, 1_500_000):
-                for doc, value in zip(ids[lo:hi], memo.encode(texts[lo:hi])):
+            for lo, hi in byte_chunks(b.column(1)):
+                for doc, value in zip(b.column(0)[lo:hi].to_pylist(), memo.encode(b.column(1)[lo:hi])):
                     w.add(key_of(doc), value)
                     if w.size() >= shard_bytes:
                         yield pa.record_batch([pa.array([w.finish()], pa.binary())], ["shard"])
                         w = ShardWriter(id_bytes)
         if w.keys:
             yield pa.record_batch([pa.array([w.finish()], pa.binary())], ["shard"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     out = ordered.mapInArrow(shards, "shard binary").select(F.col("shard").cast("string").alias("value"))
-    out.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+    with settings(docs.sparkSession, {RECORDS: str(TEXTS)}):
+        out.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
 
 
 def shard_files(spark: SparkSession, path: str) -> DataFrame:
@@ -294,28 +320,26 @@ def shard_files(spark: SparkSession, path: str) -> DataFrame:
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """One row per document from the shards themselves: doc_id, start, n_tokens, ids_crc32.
 
-    `start` is a prefix sum in two levels: over shards by their footers (one row per shard), then inside the shard.
+    Each shard is read once. `start` is a sum in three levels: over ranges of shards, over the shards of a range, and
+    inside the shard.
     """
     ship(spark)
-    files = shard_files(spark, path)
-    at = FOOTER.size + 1 - 40  # the footer's token count, counted from the end
-    totals = files.select("path", "no", F.conv(F.hex(F.expr(f"substring(content, -{at}, 8)")), 16, 10).cast("long").alias("total"))
-    order = Window.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("path", F.coalesce(F.sum("total").over(order), F.lit(0)).cast("long").alias("base"))
+    files = shard_files(spark, path).select("no.task", "no.file", "content")
 
     def decode(batches):
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+            for task, file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 shard, rows, at = Shard(data.as_py()), [], 0
                 for i in range(len(shard.index)):
                     for key, ids in shard.entries(i):
-                        rows.append((doc_of(key), at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        rows.append((task, file, doc_of(key), at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         at += len(ids)
-                cols = list(zip(*rows))
-                yield pa.record_batch([pa.array([name] * len(rows), pa.string()), *[pa.array(c, pa.int64()) for c in cols]], ["path", "doc_id", "local", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], ["task", "file", "doc_id", "local", "n_tokens", "ids_crc32"])
 
-    docs = files.select("path", "content").mapInArrow(decode, "path string, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return docs.join(base, "path").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    docs = materialize(files.mapInArrow(decode, "task long, file long, doc_id long, local long, n_tokens long, ids_crc32 long"), "index")
+    totals = docs.groupBy("task", "file").agg(F.sum("n_tokens").alias("total"))
+    base = running(totals, [F.col("task"), F.col("file")], F.col("total"), "upto").select("task", "file", (F.col("upto") - F.col("total")).alias("base"))
+    return docs.join(base, ["task", "file"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
