@@ -5,9 +5,11 @@ source gives more than `most` times its words, and what it cannot give is shared
 source then gives whole epochs, and in the last epoch the documents before its cut.
 
 Documents have a hash-random key (MD5 of the identifier). The key's leading digits range-partition each source; range
-totals, pre-aggregated before the shuffle, and their prefix sums say in which range the budget ends, and only the
-documents of that range are sorted to find the exact cut. So no range holds more than a few times `range_rows` rows,
-however large a source is, and texts are never shuffled: the plan has one row per source.
+totals, pre-aggregated before the shuffle, and their prefix sums say in which range the budget ends. Sums are taken in
+levels: first over the 256 ranges of two digits, then over the 256 ranges inside the one that holds the cut, and so on,
+so no window holds more rows of a source than that. Only the documents of the last range are sorted to find the exact
+cut; it holds a few times `range_rows` rows at most, however large a source is. Texts are never shuffled: the plan has
+one row per source. The targets are set in one task over one row per source; sources are taken to be few.
 
 The document at the cut gives the words that are left, so a source's taken words equal its target rounded down.
 
@@ -23,9 +25,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marlspike.llm.text import WORD_RE
-from marlspike.session import materialize
+from marlspike.session import discard, materialize
 
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
+#: Hexadecimal digits of the key by which ranges get finer at once: a window has 16 ** STEP rows of a source at most.
+STEP = 2
 
 
 def size_of(text: Column) -> Column:
@@ -55,7 +59,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return s.select("source", "source_size", target.alias("target"))
 
 
-def plan(slim: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, range_rows: int = 20_000) -> DataFrame:
+def plan(slim: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, range_rows: int = 2_000) -> DataFrame:
     """One row per source: source, source_size, target, epochs, cut, cut_left, cut_size.
 
     `slim` has columns source, size, key. Documents with a key below `cut` are taken once more than `epochs`; those
@@ -69,12 +73,18 @@ def plan(slim: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, r
     rows = slim.count()
     digits = max(1, math.ceil(math.log(max(1, rows / range_rows), 16)))
     part = F.substring("key", 1, digits)
-    ranges = slim.groupBy("source", part.alias("part")).agg(F.sum("size").alias("part_size"))
-    by_part = Window.partitionBy("source").orderBy("part").rowsBetween(*UP_TO)
-    through = ranges.withColumn("through", F.sum("part_size").over(by_part))
+    ranges = materialize(slim.groupBy("source", part.alias("part")).agg(F.sum("size").alias("part_size")), "ranges")
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    hit = through.join(aims, same(through, aims)).where("through >= last and through - part_size < last")
-    hit = hit.select(aims["source"], "part", (F.col("last") - F.col("through") + F.col("part_size")).alias("inside"))
+    # Down the digits of the key: of the ranges in the one that holds a source's cut, `STEP` digits finer each time.
+    hit, spent = aims.select("source", F.lit("").alias("part"), F.col("last").alias("inside")), []
+    for upto in [*range(STEP, digits, STEP), digits]:
+        fine = F.substring("part", 1, upto)
+        inner = ranges.join(hit.select(F.col("source").alias("_s"), F.col("part").alias("_p"), "inside"), F.col("source").eqNullSafe(F.col("_s")) & F.startswith("part", "_p"))
+        sums = inner.groupBy("source", fine.alias("part")).agg(F.sum("part_size").alias("part_size"), F.first("inside").alias("inside"))
+        through = sums.withColumn("through", F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(*UP_TO)))
+        found = through.where("through >= inside and through - part_size < inside")
+        hit = materialize(found.select("source", "part", (F.col("inside") - F.col("through") + F.col("part_size")).alias("inside")), "hit")
+        spent.append(hit)
     near = slim.withColumn("part", part)
     near = near.join(hit, same(near, hit) & (near["part"] == hit["part"])).select(near["source"], "key", "size", "inside")
     keys = near.groupBy("source", "key").agg(F.sum("size").alias("cut_size"), F.first("inside").alias("inside"))
@@ -82,7 +92,9 @@ def plan(slim: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, r
     keys = keys.withColumn("upto", F.sum("cut_size").over(by_key)).where("upto >= inside and upto - cut_size < inside")
     cuts = keys.select(F.col("source").alias("cut_source"), F.col("key").alias("cut"), (F.col("inside") - F.col("upto") + F.col("cut_size")).alias("cut_left"), "cut_size")
     out = aims.join(cuts, aims["source"].eqNullSafe(cuts["cut_source"]), "left").drop("cut_source", "last")
-    return materialize(out, "plan")
+    made = materialize(out, "plan")
+    discard(aims, ranges, *spent)
+    return made
 
 
 def taken(size: Column, key: Column) -> Column:
