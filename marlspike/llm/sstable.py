@@ -195,7 +195,7 @@ class WordMemo:
     is in the text. Pieces over `longest` characters go to the library each time.
     """
 
-    def __init__(self, path: str, id_bytes: int, end_id: int, limit: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, id_bytes: int, end_id: int, limit: int = 500_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -295,7 +295,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_bytes:
     def shards(batches):
         memo, w = memo_for(tokenizer, id_bytes, end_id), ShardWriter(id_bytes)
         for b in batches:
-            for lo, hi in byte_chunks(b.column(1)):
+            for lo, hi in byte_chunks(b.column(1), 3_000_000):
                 for doc, value in zip(b.column(0)[lo:hi].to_pylist(), memo.encode(b.column(1)[lo:hi])):
                     w.add(key_of(doc), value)
                     if w.size() >= shard_bytes:
