@@ -5,9 +5,11 @@ assign, a credential word assigned a value of 8 or more characters; access, an a
 hex, a lower-case hexadecimal run of 32 or more. A further kind, `entropy`, proposes other tokens of 20 or more
 characters that mix letters and digits and look random.
 
-The hash of each candidate's value is aggregated over the whole corpus by distinct repositories and owners. A value
-that more than `owners` owners hold is a widely copied example; one held by fewer is taken as live. Base spans stay
-whatever the verdict; an `entropy` span is reported only if its value is owner-specific.
+The hash of each candidate's value is aggregated over the whole corpus by distinct repositories and owners; a repository
+belongs to its owner. A value that more than `owners` owners hold, or that is in more than `repos` repositories, is a
+widely copied example; any other is owner-specific and taken as live. Base spans stay whatever the verdict; an
+`entropy` span is reported only if its value is live. The columns n_owners and n_repos give the widest spread among a
+document's values.
 
 Defined cases: null and empty texts have no spans; repeated rows are separate rows with equal spans, and their value
 counts once for its owner; a null owner or repository is one owner of its own; an empty table gives an empty result;
@@ -56,12 +58,17 @@ def scan(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(value, owners, repos): distinct holders of each value hash; `spans` has columns value, owner, repo."""
-    return spans.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"), F.count("*").alias("uses"))
+    """(value, owners, repos): distinct holders of each value hash; `spans` has columns value, owner, repo.
 
+    Counted in steps, each combined before its shuffle, so a value with very many uses is one row per task.
+    """
+    pairs = spans.select("value", "owner", "repo").distinct()
+    by_owner = pairs.groupBy("value", "owner").agg(F.count("*").alias("repos"))
+    return by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), owners: int = 2) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), owners: int = 2, repos: int = 4) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_owners, n_repos."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("array<struct<kind:int,start:int,end:int,value:long>>")
@@ -76,16 +83,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), owner.alias("owner"), repo.alias("repo"), scanned(text_col).alias("found"))
     rows = materialize(rows, "secrets")
     each = rows.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("s")).select("row", "owner", "repo", "s.*")
-    judged = each.select("row", "kind", "start", "end", "value").join(ownership(each), "value").withColumn("live", F.col("owners") <= owners)
-    kept = judged.where(F.col("live") | (F.col("kind") < 3))
-    by_row = kept.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all_spans"),
+    judged = each.select("row", "kind", "start", "end", "value").join(ownership(each), "value")
+    judged = judged.withColumn("live", (F.col("owners") <= owners) & (F.col("repos") <= repos))
+    shown = F.col("live") | (F.col("kind") < 3)
+    by_row = judged.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(shown, F.struct("start", "kind", "end")))).alias("all_spans"),
         F.count_if("live").alias("n_live"),
-        F.count_if(~F.col("live")).alias("n_example"),
+        F.count_if(~F.col("live") & shown).alias("n_example"),
+        F.max("owners").alias("n_owners"),
+        F.max("repos").alias("n_repos"),
     )
     base = F.filter("found", lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     left = rows.select("row", "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])], joined(base).alias("base"))
     out = left.join(by_row, "row", "left")
     spans = F.coalesce(joined(F.col("all_spans")), F.lit(""))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_example", "n_owners", "n_repos")])
