@@ -3,7 +3,16 @@
 Validated numbers and dates (payment cards, phone numbers, social security numbers, IPv4 addresses, IBANs, dates) and
 the local parts of e-mail addresses are replaced by a keyed permutation of their own format: a Feistel network of ten
 keyed BLAKE2b rounds over the value's number, walked along its cycle until the result is valid again. Equal values get
-equal pseudonyms in every document, different ones different pseudonyms, and the key's holder can invert them.
+equal pseudonyms in every document, different ones different pseudonyms, and the key's holder can invert them. A text
+is read once from left to right, an address before any number that starts where it does.
+
+Dates: a day has one pseudonym in every way of writing it (2024-02-01, 01/02/2024, 1/2/2024, 1.2.2024). `a/b/year` is
+read day first if that is a day, else month first; so that every way reads back, the permutation keeps whether the day
+of the month is over 12 and whether day and month have one digit or two. Days of 1900 to 2099 stay among themselves, as do
+all others from year 1 to 9999.
+
+Phones: numbers of the North American plan with separators, and numbers in international form, a plus sign and 8 to 15
+digits, of which the first two (the country) stay. Bare runs of digits carry no check and are not taken for phones.
 
 Defined cases: null texts stay null and empty texts empty, both with no findings; repeated rows get equal results;
 invalid look-alikes (a failed check digit, no such day) are left as they are; an empty table gives an empty result;
@@ -23,18 +32,19 @@ from pyspark.sql import DataFrame, functions as F
 from marlspike.session import ship
 
 KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date")
-NUMBERS = re.compile(
-    r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+VALUES = re.compile(
+    r"(?P<local>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+)(?P<host>@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24})(?![A-Za-z0-9-])"
+    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<s1>[\x20-])\d{4}(?P=s1)\d{4}(?P=s1)\d{1,7}|\d{4}(?P<s2>[\x20-])\d{6}(?P=s2)\d{5})(?![\w-]))"
     r"|(?P<phone>(?<![\w])(?:\+?1[\x20.-]?)?(?:\(\d{3}\)\x20?|\d{3}[\x20.-])\d{3}[\x20.-]\d{4}(?![\w]))"
+    r"|(?P<intl>(?<![\w+])\+\d{1,3}(?:[\x20.-]?\(?\d{1,14}\)?){1,6}(?![\w]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?P<s3>[./-])\d{1,2}(?P=s3)\d{4})(?![\w/-]))",
     re.A,
 )
 DIGIT = re.compile("[0-9]")
-EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})(@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24})(?![A-Za-z0-9-])", re.A)
-FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), 73_049  # to the end of 2099
+LAST_DAY, NEAR = dt.date.max.toordinal(), range(dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal())
 
 
 def feistel(key: bytes, tweak: str, value: int, size: int, back: bool = False, rounds: int = 10) -> int:
@@ -138,60 +148,74 @@ def iban(key: bytes, text: str, back: bool) -> str | None:
     return "".join(c if c == " " else next(fresh) for c in text)
 
 
+def intl(key: bytes, text: str, back: bool) -> str | None:
+    digits = re.sub(r"\D", "", text)
+    if not 8 <= len(digits) <= 15:
+        return None
+    return refill(text, digits[:2] + in_place(key, f"intl{digits[:2]}", digits[2:], back))
+
+
+def day_kind(v: int) -> tuple[bool, bool, bool, bool]:
+    """What a day's pseudonym has in common with it."""
+    d = dt.date.fromordinal(v)
+    return v in NEAR, d.day > 12, d.day > 9, d.month > 9
+
+
+def other_day(key: bytes, d: dt.date, back: bool) -> dt.date:
+    """The day's pseudonym: the permutation of its era, walked to a day of the same kind."""
+    v = d.toordinal()
+    kind = day_kind(v)
+    if v in NEAR:
+        fresh = walk(key, "day", v - NEAR.start, len(NEAR), lambda x: day_kind(x + NEAR.start) == kind, back) + NEAR.start
+    else:
+        fresh = walk(key, "far day", v - 1, LAST_DAY, lambda x: day_kind(x + 1) == kind, back) + 1
+    return dt.date.fromordinal(fresh)
+
+
 def date(key: bytes, text: str, back: bool) -> str | None:
-    a, b, c = map(int, re.split(r"[./-]", text))
+    parts = re.split(r"[./-]", text)
+    a, b, c = map(int, parts)
 
-    def day(y: int, m: int, d: int) -> int | None:
+    def day(y: int, m: int, d: int) -> dt.date | None:
         try:
-            v = dt.date(y, m, d).toordinal() - FIRST_DAY
+            return dt.date(y, m, d)
         except ValueError:
             return None
-        return v if 0 <= v < DAYS else None
 
-    padded = len(re.split(r"[./-]", text)[0]) == 2 and len(re.split(r"[./-]", text)[1]) == 2
-    if a > 31:
-        if (v := day(a, b, c)) is None:
-            return None
-        return (dt.date.fromordinal(FIRST_DAY + feistel(key, "date", v, DAYS, back))).isoformat()
+    if len(parts[0]) == 4:
+        return other_day(key, d, back).isoformat() if (d := day(a, b, c)) else None
     at = re.search(r"[./-]", text)[0]
-    short = "" if padded else "short"
-    two = (lambda n: f"{n:02}") if padded else str
-    # Written day first if that is a day; a number that only reads month first stays among such numbers.
-    plain = lambda v: dt.date.fromordinal(FIRST_DAY + v)
-    loose = lambda d: padded or d.day < 10 or d.month < 10  # noqa: E731  else it would read as padded
-    if (v := day(c, b, a)) is not None:
-        d = plain(walk(key, "date" + short, v, DAYS, lambda v: loose(plain(v)), back))
-        return f"{two(d.day)}{at}{two(d.month)}{at}{d.year}"
-    if (v := day(c, a, b)) is not None:
-        d = plain(walk(key, "date" + short, v, DAYS, lambda v: plain(v).day > 12 and loose(plain(v)), back))
-        return f"{two(d.month)}{at}{two(d.day)}{at}{d.year}"
+    write = lambda n, part: f"{n:0{len(part)}}"
+    if d := day(c, b, a):
+        d = other_day(key, d, back)
+        return f"{write(d.day, parts[0])}{at}{write(d.month, parts[1])}{at}{d.year:04}"
+    if d := day(c, a, b):
+        d = other_day(key, d, back)
+        return f"{write(d.month, parts[0])}{at}{write(d.day, parts[1])}{at}{d.year:04}"
     return None
 
 
-MAKERS = {"card": card, "phone": phone, "ssn": ssn, "ip": ip, "iban": iban, "date": date}
+MAKERS = {"card": card, "phone": phone, "intl": intl, "ssn": ssn, "ip": ip, "iban": iban, "date": date}
 
 
 def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
     """(text with pseudonyms, findings by kind); `back` inverts."""
     counts = dict.fromkeys(KINDS, 0)
 
-    def number(m: re.Match) -> str:
+    def fresh(m: re.Match) -> str:
+        if m["local"]:
+            counts["email"] += 1
+            shape = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", m["local"])))
+            return in_place(key, "email" + shape, m["local"], back) + m["host"]
         kind = next(k for k in MAKERS if m[k])
-        fresh = MAKERS[kind](key, m[0], back)
-        if fresh is None:
+        made = MAKERS[kind](key, m[0], back)
+        if made is None:
             return m[0]
-        counts[kind] += 1
-        return fresh
-
-    def address(m: re.Match) -> str:
-        counts["email"] += 1
-        shape = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", m[1])))
-        return in_place(key, "email" + shape, m[1], back) + m[2]
-
-    if DIGIT.search(text):
-        text = NUMBERS.sub(number, text)
-    if "@" in text:
-        text = EMAIL.sub(address, text)
+        counts["phone" if kind == "intl" else kind] += 1
+        return made
+
+    if DIGIT.search(text) or "@" in text:
+        text = VALUES.sub(fresh, text)
     return text, counts
 
 
