@@ -112,10 +112,12 @@ from r
     "op10_chat": r"""
 with t as (
   select distinct conv_id, coalesce(turn, -9223372036854775808) as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+), p as (
+  select *, dense_rank() over (partition by conv_id order by turn) as place from t
 ), c as (
-  select conv_id, count(*) as n_turns, list((turn, role, text) order by turn, role, text) as turns,
-         string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' order by turn, role, text) as rendered
-  from t group by conv_id
+  select conv_id, count(*) as n_turns, list((place, role, text) order by place, role, text) as turns,
+         string_agg('<|' || replace(role, '<|', '<\|') || '|>' || chr(10) || replace(text, '<|', '<\|') || chr(10), '' order by turn, role, text) as rendered
+  from p group by conv_id
 ), whole as (
   select min(conv_id) as conv_id, n_turns, turns, any_value(rendered) as rendered from c group by n_turns, turns
 )
