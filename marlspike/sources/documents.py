@@ -83,8 +83,10 @@ def table_name(name: Column) -> Column:
 def strangers(numbers: DataFrame, target: DataFrame) -> DataFrame:
     """Tables of a dump (table_name, number) whose number the target has given to another table, or the other way round."""
     t = target.select(F.col("table_name").alias("_name"), F.col("number").alias("_number"))
-    met = numbers.join(t, (F.col("table_name") == F.col("_name")) | (F.col("number") == F.col("_number")))
-    return met.where((F.col("table_name") != F.col("_name")) | (F.col("number") != F.col("_number"))).select("table_name", "number").distinct()
+    # Two joins on equality; with "or" between them Spark would look at every pair of tables.
+    renumbered = numbers.join(t, (F.col("table_name") == F.col("_name")) & (F.col("number") != F.col("_number")), "left_semi")
+    renamed = numbers.join(t, (F.col("number") == F.col("_number")) & (F.col("table_name") != F.col("_name")), "left_semi")
+    return renumbered.union(renamed).select("table_name", "number").distinct()
 
 
 def apply_dump(log: DataFrame, docs: DataFrame, numbers: DataFrame, target: DataFrame) -> DataFrame:
