@@ -359,14 +359,20 @@ def reclaimable(files: DataFrame, now: float) -> DataFrame:
     return files.where((F.col("status") == "pending") & F.col("expires_at").isNotNull() & (F.col("expires_at") <= now))
 
 
+#: Routes that may be broadcast.
+FEW_ROUTES = 100_000
+
+
 def match_route(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """The route of each request: an exact path, else the longest prefix, of the same method.
 
-    A request looks up each of its own prefixes, so the join is on equality.
+    A request looks up each of its own prefixes, so the join is on equality. It is said by hand which side is sent
+    round, as Spark takes the size of the requests before they are exploded: the routes, or if these are many none.
     """
     prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     asked = requests.withColumn("_try", F.explode(prefixes))
     kinds = routes.select(F.col("method").alias("_m"), F.col("pattern"), F.col("kind"), F.col("route_id"))
+    kinds = kinds.hint("broadcast" if kinds.limit(FEW_ROUTES + 1).count() <= FEW_ROUTES else "merge")
     met = asked.join(kinds, (asked["method"] == kinds["_m"]) & (asked["_try"] == kinds["pattern"]) & ((F.col("kind") == "prefix") | (F.col("_try") == F.col("path"))))
     rank = F.struct((F.col("kind") == "exact").cast("int"), F.length("pattern"))
     return met.groupBy(*requests.columns).agg(F.max_by("route_id", rank).alias("route_id"))

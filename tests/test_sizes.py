@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from marlspike.operators import jobs
 from marlspike.sources import documents
 
 
@@ -19,3 +22,15 @@ def test_strangers_equal_brute_force_without_all_pairs(spark):
         assert "NestedLoop" not in plan(out) and "Cartesian" not in plan(out)
         got = [tuple(r) for r in out.collect()]
         assert len(got) == len({*got}) and {*got} == {x for x in own if any(there(x, y) for y in theirs)}
+
+
+def test_routes_never_broadcast_the_exploded_requests(spark, monkeypatch):
+    asks = spark.range(300).select(F.lit("GET").alias("method"), F.concat(F.lit("/a/"), F.col("id").cast("string")).alias("path"))
+    rows = [("GET", "/", "prefix", 1), ("GET", "/a/7", "prefix", 2), ("GET", "/a/7", "exact", 3), ("POST", "/a/7", "exact", 4)]
+    routes = spark.createDataFrame(rows, "method string, pattern string, kind string, route_id int")
+    want = {f"/a/{i}": 3 if i == 7 else 2 if str(i)[0] == "7" else 1 for i in range(300)}
+    for few in (100, 2):
+        monkeypatch.setattr(jobs, "FEW_ROUTES", few)
+        out = jobs.match_route(asks, routes)
+        assert "BuildLeft" not in plan(out) and ("BuildRight" in plan(out)) == (few == 100)
+        assert {r.path: r.route_id for r in out.collect()} == want
