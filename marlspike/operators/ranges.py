@@ -12,9 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marlspike.operators.prefix import BEFORE, UP_TO, ranges_of
+from marlspike.session import materialize
 
 #: 11 levels of 6 bits cover all 64 bits of a key.
 LEVELS, STEP = 11, 6
+#: Commits, or subscriptions, of a block: as many rows of a key as Spark's merge join holds as they are.
+BLOCK = 4096
+#: Pairs of classes that may be broadcast.
+FEW_CLASSES = 100_000
 
 
 def intersects(a_low: Column, a_high: Column, b_low: Column, b_high: Column) -> Column:
@@ -64,10 +69,35 @@ def affected(subscriptions: DataFrame, writes: DataFrame) -> DataFrame:
     return ranged.select("commit_ts", "sub_id").union(whole.select("commit_ts", "sub_id")).distinct()
 
 
+def by_space(polls: DataFrame, subscriptions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(commit_ts, sub_id) of polls and subscriptions with a keyspace in common, each once; then the keyspaces of
+    each commit (commit_ts, _rose) and of each subscription (sub_id, _watched).
+
+    Commits, and subscriptions, with the same keyspaces are a class. Classes with a keyspace in common meet whole, in
+    blocks two by two, so no pair is formed twice and the pairs need no shuffle, which is as large as they are.
+    """
+    told = lambda df, key, name: df.where("keyspace is not null").groupBy(key).agg(F.sort_array(F.collect_set("keyspace")).alias(name))
+    rose = materialize(told(polls, "commit_ts", "_rose"), "rose")
+    watched = materialize(told(subscriptions, "sub_id", "_watched"), "watched")
+    blocks = lambda df, name, n: df.groupBy(name).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n)).withColumn("keyspace", F.explode(name))
+    classes = blocks(rose, "_rose", "_m").join(blocks(watched, "_watched", "_n"), "keyspace").drop("keyspace").distinct()
+    classes = materialize(classes.withColumn("_class", F.monotonically_increasing_id()), "classes")
+    classes = classes.hint("broadcast" if classes.count() <= FEW_CLASSES else "merge")
+    own = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rose.join(classes, "_rose").select("commit_ts", "_class", own("commit_ts", "_m").alias("_i"), every("_n").alias("_j"))
+    right = watched.join(classes, "_watched").select("sub_id", "_class", own("sub_id", "_n").alias("_j"), every("_m").alias("_i"))
+    return left.join(right, ["_class", "_i", "_j"]).select("commit_ts", "sub_id"), rose, watched
+
+
 def affected_at(subscriptions: DataFrame, writes: DataFrame, polls: DataFrame) -> DataFrame:
     """`affected`, and the subscriptions of global tables whose version rose: `polls` has (commit_ts, keyspace)."""
-    risen = polls.join(subscriptions.select("sub_id", "keyspace"), "keyspace").select("commit_ts", "sub_id")
-    return affected(subscriptions, writes).union(risen).distinct()
+    risen, rose, watched = by_space(polls, subscriptions)
+    hit = affected(subscriptions, writes)
+    met = hit.join(rose.withColumnRenamed("commit_ts", "_ts"), F.col("commit_ts").eqNullSafe(F.col("_ts")), "left")
+    met = met.join(watched.withColumnRenamed("sub_id", "_id"), F.col("sub_id").eqNullSafe(F.col("_id")), "left")
+    others = met.where(~F.coalesce(F.arrays_overlap("_rose", "_watched"), F.lit(False)))
+    return others.select("commit_ts", "sub_id").union(risen)
 
 
 def conflicts(transactions: DataFrame, reads: DataFrame, writes: DataFrame) -> DataFrame:
