@@ -12,6 +12,9 @@ The order is rarest first by a fixed number of counters, so shingles of many tex
 exact. Cells with the same members are one cell. Cells over `BLOCK` members are split into blocks that meet two by
 two, so no task holds a cell of any size.
 
+First rows are linked by their 64-bit SimHash fingerprints (`simhash.print_links`), and these links are verified by the
+whole sets. A fingerprint within 3 bits reaches the nearest only, so the rest goes over the cells.
+
 Inside a cell leaders are linked with the rows in range of them. Each such pair is compared again by embeddings of as
 many segments as the sets have shingles or more (again an exact filter, and a tenth of the texts' size), and what
 passes is verified by its whole sets. Then, until nothing is left, rows whose groups still differ propose their nearest
@@ -32,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from marlspike.llm import simhash
 from marlspike.llm.components import components, edges_of, small_pairs, whole_cells
 from marlspike.llm.text import folded_words, shingle_hashes
 from marlspike.session import CLEANUP, RECORDS, discard, materialize, settings
@@ -109,30 +113,34 @@ def prefix_length(size: int, least: float) -> int:
 
 
 def prints_of(docs: DataFrame, k: int, least: float, counts: np.ndarray) -> DataFrame:
-    """(row, d0, d1, size, v0..v7, fine, cells): the set's digest, its size, its embeddings and its rarest shingles."""
+    """(row, d0, d1, size, fp, v0..v7, fine, cells): the set's digest, size, fingerprint, embeddings and rarest shingles.
+
+    The fingerprint is that of all distinct shingles, so equal sets have one.
+    """
     held = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
 
     def rows(batches):
         count = held.value
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
-                digest, size, vector, fine, cells = [], [], [], [], []
+                digest, size, mark, vector, fine, cells = [], [], [], [], [], []
                 part = b.slice(lo, 1024)
                 for text in part.column(1):
                     x = shingle_set(text.as_py(), k)
                     order = np.lexsort((x, count[(x & np.uint64(COUNTERS - 1)).astype(np.int64)]))
                     digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                     size.append(len(x))
+                    mark.append(simhash.fingerprint_of(x))
                     vector.append(embedding(x))
                     fine.append(fine_embedding(x))
                     cells.append(x[order[: prefix_length(len(x), least)]].view(np.int64))
                 ends = np.cumsum([0, *map(len, cells)])
-                columns = [*np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2).T, np.array(size, np.int64), *np.array(vector).view(np.int64).T]
+                columns = [*np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2).T, np.array(size, np.int64), np.array(mark, np.uint64).view(np.int64), *np.array(vector).view(np.int64).T]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cells)))
-                yield pa.record_batch([part.column(0), *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array(fine, pa.binary()), lists], ["row", "d0", "d1", "size", *VECTOR, "fine", "cells"])
+                yield pa.record_batch([part.column(0), *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array(fine, pa.binary()), lists], ["row", "d0", "d1", "size", "fp", *VECTOR, "fine", "cells"])
         pa.default_memory_pool().release_unused()
 
-    return docs.select("row", "text").mapInArrow(rows, f"row long, d0 long, d1 long, size long, {', '.join(f'{v} long' for v in VECTOR)}, fine binary, cells array<long>")
+    return docs.select("row", "text").mapInArrow(rows, f"row long, d0 long, d1 long, size long, fp long, {', '.join(f'{v} long' for v in VECTOR)}, fine binary, cells array<long>")
 
 
 def shared_cells(sets: DataFrame) -> DataFrame:
@@ -315,7 +323,7 @@ def groups_of(docs: DataFrame, k: int = 5, least: float = 0.8, nearest: int = 16
     """
     prints = materialize(prints_of(docs, k, least, counted(docs, k)), "prints", TEXTS)
     same = materialize(prints.groupBy("d0", "d1").agg(F.min("row").alias("node")), "same")
-    sets = materialize(prints.join(same.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "size", *VECTOR, "fine", "cells"), "sets")
+    sets = materialize(prints.join(same.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "size", "fp", *VECTOR, "fine", "cells"), "sets")
     slim = materialize(prints.select("row", "d0", "d1"), "slim")
     discard(prints)
     held = cells = shared_cells(sets)
@@ -328,8 +336,9 @@ def groups_of(docs: DataFrame, k: int = 5, least: float = 0.8, nearest: int = 16
         discard(left)
         return out
 
-    tested = [materialize(leader_pairs(cells, least), "pairs")]
-    links = [verified(tested[0])]
+    tested = [simhash.print_links(sets.select("node", "fp"))]
+    tested.append(materialize(leader_pairs(cells, least).join(tested[0], ["u", "v"], "left_anti"), "pairs"))
+    links = [verified(t) for t in tested]
     roots, more, found = None, True, True
     while more or found:
         if found:
